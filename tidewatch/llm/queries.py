@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, packing, quality
 from .chat import CHAT_SQL, chat_report
 from .sharding import shard_report
 from .store import table
@@ -19,6 +20,24 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +64,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_packing": op4_packing,
+    "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op10_exact_top_k": TOP_K_SQL}
