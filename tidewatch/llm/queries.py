@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality
+from . import langid, minhash, packing, quality
 from .chat import CHAT_SQL, chat_report
 from .sharding import shard_report
 from .store import table
@@ -20,6 +20,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations"))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -63,6 +67,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
