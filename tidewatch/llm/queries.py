@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality
+from . import decontam, langid, minhash, packing, quality
 from .chat import CHAT_SQL, chat_report
 from .sharding import shard_report
 from .store import table
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -70,9 +74,10 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_packing": op4_packing,
+    "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op10_exact_top_k": TOP_K_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op5_decontamination": decontam.LEAKS_SQL, "op10_exact_top_k": TOP_K_SQL}
