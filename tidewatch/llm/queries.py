@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, packing, quality
+from . import decontam, langid, linededup, minhash, packing, quality
 from .chat import CHAT_SQL, chat_report
 from .sharding import shard_report
 from .store import table
@@ -42,6 +42,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,8 +80,9 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op5_decontamination": decontam.LEAKS_SQL, "op10_exact_top_k": TOP_K_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op5_decontamination": decontam.LEAKS_SQL, "op7_line_dedup": linededup.LINES_SQL, "op10_exact_top_k": TOP_K_SQL}
