@@ -69,6 +69,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
     nothing and leak nowhere. Without documents or items there are no rows.
     """
     items = benchmark.where("text is not null").select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("ik"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return _leaks(documents, benchmark, similarity, masks).drop("dk")
+
+
+def _leaks(documents: DataFrame, benchmark: DataFrame, similarity: float, masks: Sequence[str]) -> DataFrame:
     allowed = F.floor(F.size("w") * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     items = benchmark.where("text is not null").select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("ik"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = materialise(items.select("item_id", "ik", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("ih"), allowed.alias("m")), "items")
@@ -95,13 +99,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
     found = aligned.select("dk", "ik", "doc_id", "item_id", begin.alias("place"), matched.alias("matched"), F.size("ih").alias("item_words"))
     found = found.where(F.col("matched") >= F.col("item_words") * F.lit(similarity) - F.lit(1e-9))
     best = F.max_by(F.struct("doc_id", "item_id", "place", "matched", "item_words"), F.struct("matched", -F.col("place")))
-    return found.groupBy("dk", "ik").agg(best.alias("b")).select("b.*")
+    return found.groupBy("dk", "ik").agg(best.alias("b")).select("dk", "b.*")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` without those that hold a benchmark item; null texts stay."""
-    bad = leaks(documents, benchmark, similarity=similarity).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = _leaks(documents, benchmark, similarity, MASKS).select(F.col("dk").alias("_dk")).distinct()
+    # few documents leak as a rule, but their number has no bound
+    return documents.withColumn("_dk", F.xxhash64("doc_id", "text")).join(_small(materialise(bad, "leaky")), "_dk", "left_anti").select(*documents.columns)
 
 
 #: The same in SQL: every alignment of every item that shares at least one word there.

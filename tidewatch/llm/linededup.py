@@ -116,6 +116,13 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     )
 
 
+def cleaned(documents: DataFrame) -> DataFrame:
+    """:func:`without_repeats` with ``n_chars``, if there is one, brought up to date; a document that has lost all its lines goes."""
+    d = without_repeats(documents)
+    d = d.where((F.col("_removed") == 0) | (F.length(F.btrim("text", F.lit(BLANKS + "\n"))) > 0))
+    return d.select(*(F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
+
+
 def line_report(documents: DataFrame) -> DataFrame:
     """What is left of each document: doc_id, n_lines, n_removed, kept_chars, kept_sha256."""
     d = without_repeats(documents.select("doc_id", "text"))

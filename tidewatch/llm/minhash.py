@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 5
 #: Leaders that a bucket takes in each further round.
 LEADERS = 16
 _EPS = 1e-9
+#: Stands for a null id, so that it sorts last.
+NO_ID = 2**63 - 1
 
 
 def weighted_shingles(hashes: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,25 +123,20 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """text, did (the id, or the least long for null) and xx (hash of the text): together they find a text again."""
-    return documents.where("text is not null").select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64("text").alias("xx"))
+    """text, did (the id, or NO_ID for null) and xx (hash of the text): together they find a text again."""
+    return documents.where("text is not null").select("text", _did(), F.xxhash64("text").alias("xx"))
 
 
-def near_duplicates(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """One row a document: doc_id, class_id, class_size, kept.
+def _did() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
 
-    Documents are in one class if a chain of links connects them; a link is a
-    probability Jaccard similarity of at least ``similarity``, equal word
-    sequences included. class_id is the class's smallest id that is not null;
-    kept marks the row with it (of rows with one id and one text all, so that a
-    repeated row is not lost). Texts that are null or have no words are classes
-    of their own, as is each repeated row of them. Texts of fewer than five
-    words are one shingle. An empty table gives an empty result.
-    """
+
+def classes(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """Near-duplicate classes of texts with words: did, xx, class_size, rep (did and xx of the one that stays)."""
     far = 1 - similarity + _EPS
     keyed = _keyed(documents)
     signed = materialise(keyed.select("text", "did", "xx").mapInArrow(_signatures, "did long, xx long, f1 long, f2 long, bands array<long>"), "signatures")
-    nodes = signed.groupBy("f1", "f2").agg(F.min(F.struct("did", "xx")).alias("rep"), F.count("*").alias("copies"), F.min(F.when(F.col("did") != -(2**63), F.col("did"))).alias("least"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("f1", "f2").agg(F.min(F.struct("did", "xx")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -173,10 +170,40 @@ def near_duplicates(documents: DataFrame, *, similarity: float = SIMILARITY) ->
         used = materialise(used.union(lead.select("bucket", F.col("l").alias("node"))), "used")
         if fresh.where(F.col("d") <= far).take(1):
             placed = components(tested.where(F.col("d") <= far))
-    classes = nodes.select("node", "f1", "f2", "least", "copies").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sums = classes.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = classes.join(sums, "component").select("f1", "f2", "class_id", "class_size")
-    known = signed.select("did", "xx", "f1", "f2").distinct().join(of, ["f1", "f2"]).select("did", "xx", "class_id", "class_size")
-    ids = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64("text").alias("xx"))
-    out = ids.join(known, ["did", "xx"], "left")
-    return out.select("doc_id", F.coalesce("class_id", F.when(F.col("class_size").isNull(), F.col("doc_id").cast("long"))).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_size").isNull() | F.col("class_id").isNull()).alias("kept"))
+    joined = nodes.select("node", "f1", "f2", "rep", "copies").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = joined.groupBy("component").agg(F.min("rep").alias("rep"), F.sum("copies").alias("class_size"))
+    of = joined.drop("rep").join(sums, "component").select("f1", "f2", "rep", "class_size")
+    return signed.select("did", "xx", "f1", "f2").distinct().join(of, ["f1", "f2"]).select("did", "xx", "rep", "class_size")
+
+
+def near_duplicates(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """One row a document: doc_id, class_id, class_size, kept.
+
+    Documents are in one class if a chain of links connects them; a link is a
+    probability Jaccard similarity of at least ``similarity``, equal word
+    sequences included. class_id is the class's smallest id (null if none of
+    its documents has one); kept marks the row that stays, which has that id (rows
+    with one id and one text are marked alike). Texts that are null or have no
+    words are classes of their own, as is each repeated row of them. Texts of
+    fewer than five words are one shingle. An empty table gives an empty result.
+    """
+    ids = documents.select("doc_id", _did(), F.xxhash64("text").alias("xx"), F.col("text").isNull().alias("_null"))
+    out = ids.join(classes(documents, similarity=similarity), ["did", "xx"], "left")
+    out = out.withColumn("rep", F.when(~F.col("_null"), F.col("rep")))
+    alone = F.col("rep").isNull()
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id").cast("long")).otherwise(F.nullif(F.col("rep.did"), F.lit(NO_ID))).alias("class_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        (alone | ((F.col("did") == F.col("rep.did")) & (F.col("xx") == F.col("rep.xx")))).alias("kept"),
+    )
+
+
+def without_near_duplicates(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, of equal rows one; texts that are null or have no words all stay."""
+    gone = classes(documents, similarity=similarity).where("did <> rep.did or xx <> rep.xx").select("did", "xx")
+    d = documents.withColumn("_did", _did()).withColumn("_xx", F.xxhash64("text"))
+    d = d.join(gone.withColumnsRenamed({"did": "_did", "xx": "_xx"}), ["_did", "_xx"], "left_anti")
+    again = F.row_number().over(W.partitionBy("_did", "_xx").orderBy("_xx"))
+    blank = F.col("text").isNull() | (F.length(F.btrim("text")) == 0)
+    return d.withColumn("_again", again).where((F.col("_again") == 1) | blank).select(*documents.columns)

@@ -30,7 +30,7 @@ WINDOW, GRAIN, END_ID = 4096, 128, 2
 #: Windows in a step group.
 STEP = 64
 #: Pieces of one length that one task ranks, about.
-RANKED_ROWS = 200_000
+RANKED_ROWS = 20_000
 
 
 def cuts(n: int, window: int = WINDOW, grain: int = GRAIN) -> list[tuple[int, int]]:
