@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import features
+
+PARTS = [features]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("event_type").count()
+    """How many events each action takes: features, rules, policy."""
+    return features.f22_decisions(spark, "/root/testdata/sf0.001").groupBy("decision").agg(F.count("*").alias("events"), F.round(F.avg("risk_score"), 6).alias("mean_risk"))
