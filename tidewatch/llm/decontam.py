@@ -9,8 +9,8 @@ whole, once for each choice of the words that may differ.
 
 Most documents are ruled out before any seed is made, without loss: an item of
 n words of which m may differ cannot leak into a document that has none of m + 1
-chosen ones of its words. The longest words are chosen, being the rarest as a
-rule, and looked up word by word.
+chosen ones of its words. Those that the documents have least of are chosen, and
+looked up word by word.
 
 Everything runs as DataFrame code on words of the lower-cased text, split at
 white space.
@@ -79,9 +79,12 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, similarity: float, masks:
     longest = max(map(len, masks))
     sizes = items.where(F.size("ih") < longest).select(F.size("ih").alias("n"), "m").distinct().collect()  # fewer than a mask is long
     masks = [*masks, *(k for r in sizes for k in short_masks(r["n"], r["m"]))]
-    ranked = items.select("ik", "m", F.posexplode("w").alias("p", "x")).withColumn("r", F.row_number().over(W.partitionBy("ik").orderBy(F.desc(F.length("x")), "x", "p")))
-    telling = materialise(ranked.where(F.col("r") <= F.col("m") + 1).select("x").distinct(), "telling")
     keyed = documents.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
+    vocabulary = materialise(items.select(F.explode("w").alias("x")).distinct(), "vocabulary")
+    often = keyed.select(F.explode(F.split(F.lower("text"), SPACE)).alias("x")).join(_small(vocabulary), "x", "left_semi").groupBy("x").agg(F.count("*").alias("n"))
+    ranked = items.select("ik", "m", F.posexplode("w").alias("p", "x")).join(often, "x", "left")
+    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("ik").orderBy(F.coalesce("n", F.lit(0)), "x", "p")))
+    telling = materialise(ranked.where(F.col("r") <= F.col("m") + 1).select("x").distinct(), "telling")
     near = keyed.select("dk", F.explode(F.split(F.lower("text"), SPACE)).alias("x")).join(_small(telling), "x", "left_semi").select("dk").distinct()
     near = materialise(near, "near")
     chosen = keyed.join(_small(near), "dk").select("dk", "doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("dh"))
