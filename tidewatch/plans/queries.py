@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis, features, graphs, joins
+from . import analysis, features, graphs, joins, learning
 
-PARTS = [features, joins, graphs, analysis]
+PARTS = [features, joins, graphs, analysis, learning]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
 
