@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Leaders that a bucket takes in each further round.
 LEADERS = 16
+#: Lists of so few nodes are broadcast to pick out their texts; longer ones are shuffled.
+SMALL_ROWS = 100_000
 _EPS = 1e-9
 #: Stands for a null id, so that it sorts last.
 NO_ID = 2**63 - 1
@@ -141,9 +143,12 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialise(rows.join(shared, "bucket"), "members")
-    texts = nodes.select("node", "rep.did", "rep.xx").join(keyed, ["did", "xx"]).select("node", "text")
 
     def compared(pairs: DataFrame) -> DataFrame:
+        """Distances of pairs (a, b); only the texts in question are shuffled."""
+        pairs = materialise(pairs, "pairs")
+        wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep.did", "rep.xx"), "node"), "wanted")
+        texts = keyed.join(F.broadcast(wanted) if wanted.count() <= SMALL_ROWS else wanted, ["did", "xx"])
         one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         rows = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
         return materialise(rows.mapInArrow(_distances, "a long, b long, d double").distinct(), "distances")
@@ -154,20 +159,23 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     placed = components(tested.where(F.col("d") <= far))
     open_ = members.join(to_leader, ["leader", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).select("bucket", "node", "d")
     while True:
-        # buckets whose members are not all connected, without the leaders compared so far
-        here = open_.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # members not yet compared with their whole bucket, where these are not all connected
+        here = open_.join(used, ["bucket", "node"], "left_anti").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = here.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("bucket")
-        here = materialise(here.join(split, "bucket").join(used, ["bucket", "node"], "left_anti"), "open")
-        # a distinct component first for each leader
-        lead = here.withColumn("_c", F.row_number().over(W.partitionBy("bucket", "component").orderBy("node"))).withColumn("_n", F.row_number().over(W.partitionBy("bucket").orderBy("_c", "node"))).where(F.col("_n") <= LEADERS)
+        here = materialise(here.join(split, "bucket"), "open")
+        # members of small components first: those of the largest are left over
+        size = F.count("*").over(W.partitionBy("bucket", "component"))
+        lead = here.withColumn("_s", size).withColumn("_n", F.row_number().over(W.partitionBy("bucket").orderBy("_s", "component", "node"))).where(F.col("_n") <= LEADERS)
         lead = materialise(lead.select("bucket", F.col("node").alias("l"), F.col("component").alias("lc"), F.col("d").alias("ld")), "leaders")
         if not lead.take(1):
             break
         pairs = here.join(lead, "bucket").where("node <> l and component <> lc").where(F.abs(F.col("d") - F.col("ld")) <= far)
-        pairs = pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialise(pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        used = materialise(used.union(lead.select("bucket", F.col("l").alias("node"))), "used")
+        if not pairs.take(1):
+            continue
         fresh = compared(pairs)
         tested = tested.union(fresh)
-        used = materialise(used.union(lead.select("bucket", F.col("l").alias("node"))), "used")
         if fresh.where(F.col("d") <= far).take(1):
             placed = components(tested.where(F.col("d") <= far))
     joined = nodes.select("node", "f1", "f2", "rep", "copies").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
