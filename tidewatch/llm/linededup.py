@@ -10,7 +10,7 @@ range of ranks: pairs of ranks are counted first, and only the counts of a
 group are put in order. Rounds end when no group can be split.
 
 The groups of round k are the intervals of the suffix array with longest common
-prefixes of at least 2**k lines. In each, all but the first occurrence (by
+prefixes of at least 2**k lines (or of all that a suffix has). In each, all but the first occurrence (by
 doc_id, then line) are later copies, and so are the 2**k lines from there. The
 union of these stretches is that of the later copies of all maximal repeated
 runs, as every part of a run is itself a repeated run.
@@ -46,7 +46,8 @@ def repeated_runs(documents: DataFrame) -> tuple[DataFrame, int]:
     """Positions of repeated lines with their final rank and depth; and the number of rounds.
 
     depth is the largest power of two so that the run of that many lines from
-    here has an earlier occurrence (0: not even the line has).
+    here, or of all up to the next line that is not repeated, has an earlier
+    occurrence (0: not even the line has).
     """
     lines = materialise(_lines(documents), "lines")
     spot = F.struct("doc_id", "dk", "ord")
@@ -79,7 +80,7 @@ def repeated_runs(documents: DataFrame) -> tuple[DataFrame, int]:
             discard(paired)
             break
         longer = (F.col("second") >= 0) & (F.col("n") > 1) & (F.struct("doc_id", "dk", "ord") > F.col("first"))
-        fresh = paired.join(groups, ["rank", "second"]).select("doc_id", "dk", "ord", "pos", "wordy", (F.col("rank") + F.col("smaller")).alias("rank"), F.when(longer, F.lit(2 * reach)).otherwise(F.col("depth")).cast("long").alias("depth"), "left")
+        fresh = paired.join(groups, ["rank", "second"]).select("doc_id", "dk", "ord", "pos", "wordy", (F.col("rank") + F.col("smaller")).alias("rank"), F.when(longer, F.least(F.lit(2 * reach), F.col("left"))).otherwise(F.col("depth")).cast("long").alias("depth"), "left")
         fresh = materialise(fresh, "positions")
         for stale in (at, paired, groups):
             discard(stale)
