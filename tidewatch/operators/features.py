@@ -17,6 +17,7 @@ NO_HISTORY_S = 604_800.0
 CASH = ("atm", "cash")
 CUST, PAYEE, DEVICE = ["cust"], ["payee"], ["device"]
 
+#: Features by name: group and Column. Columns need a session, so the built-in ones are added at first use.
 REGISTRY: dict[str, tuple[str, Column]] = {}
 
 
@@ -84,11 +85,10 @@ def _register() -> None:
     feature("channel_change", "channel", _flag((gap < fr.WEEK) & _known("channel") & (F.coalesce(last, F.lit("")) != "") & (last != F.col("channel"))))
 
 
-_register()
-
-
 def features(tx: DataFrame, names: list[str] | None = None) -> DataFrame:
     """tx_id and the named features (all of the registry by default). Spark shares windows of one partitioning."""
+    if "amount_try" not in REGISTRY:
+        _register()
     return tx.select("tx_id", *(REGISTRY[n][1].alias(n) for n in names or REGISTRY))
 
 

@@ -287,11 +287,14 @@ SELECT tx_id, (['ALLOW', 'STEP_UP', 'HOLD', 'BLOCK'])[fin + 1] AS decision, roun
 def f18_top_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     rules = s.select("tx_id", F.explode("rule_hits").alias("h")).select("tx_id", F.col("h.id").alias("code"), F.lit("rule").alias("source"), F.col("h.score").alias("weight"))
-    models = s.select("tx_id", F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.lit(o).alias("source"), F.round(w, 6).alias("weight")) for c, o, w in _REASONS))).alias("r")).select("tx_id", "r.*")
+    models = s.select("tx_id", F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.lit(o).alias("source"), F.round(w, 6).alias("weight")) for c, o, w in _reasons()))).alias("r")).select("tx_id", "r.*")
     return rl.top_reasons(rules.union(models.where("weight > 0")))
 
 
-_REASONS = [("ML_A", "ml", F.col("cnt_7d") / 40), ("ML_B", "ml", F.col("is_night") * 0.3), ("ML_C", "ml", F.col("cnt_24h") / 20), ("SANCTIONS", "policy", F.when(F.col("cnt_7d") % 9 == 0, 1.0).otherwise(0.0)), ("BURST", "signal", F.col("cnt_1h") / 3)]
+def _reasons() -> list:
+    return [("ML_A", "ml", F.col("cnt_7d") / 40), ("ML_B", "ml", F.col("is_night") * 0.3), ("ML_C", "ml", F.col("cnt_24h") / 20), ("SANCTIONS", "policy", F.when(F.col("cnt_7d") % 9 == 0, 1.0).otherwise(0.0)), ("BURST", "signal", F.col("cnt_1h") / 3)]
+
+
 QUERIES["f18_top_reasons"] = f18_top_reasons
 ORACLES["f18_top_reasons"] = f"""WITH {EVENT_TX}, {_FEATURES_SQL}, s AS ({_SCORED_SQL}), q AS (
 """ + "\n UNION ALL ".join(
