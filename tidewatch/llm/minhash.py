@@ -34,7 +34,7 @@ from .store import materialise
 SHINGLE, SIMILARITY = 5, 0.8
 #: Registers are BANDS x ROWS; a pair at J = 0.8 misses all bands with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: Leaders that a bucket takes in each further round.
+#: Leaders that a bucket takes in its second round; each later round takes twice as many.
 LEADERS = 16
 #: Lists of so few nodes are broadcast to pick out their texts; longer ones are shuffled.
 SMALL_ROWS = 100_000
@@ -158,6 +158,7 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
     used = members.select("bucket", F.col("leader").alias("node")).distinct()
     placed = components(tested.where(F.col("d") <= far))
     open_ = members.join(to_leader, ["leader", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).select("bucket", "node", "d")
+    leaders = LEADERS
     while True:
         # members not yet compared with their whole bucket, where these are not all connected
         here = open_.join(used, ["bucket", "node"], "left_anti").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -165,10 +166,11 @@ def classes(documents: DataFrame, *, similarity: float = SIMILARITY) -> DataFram
         here = materialise(here.join(split, "bucket"), "open")
         # members of small components first: those of the largest are left over
         size = F.count("*").over(W.partitionBy("bucket", "component"))
-        lead = here.withColumn("_s", size).withColumn("_n", F.row_number().over(W.partitionBy("bucket").orderBy("_s", "component", "node"))).where(F.col("_n") <= LEADERS)
+        lead = here.withColumn("_s", size).withColumn("_n", F.row_number().over(W.partitionBy("bucket").orderBy("_s", "component", "node"))).where(F.col("_n") <= leaders)
         lead = materialise(lead.select("bucket", F.col("node").alias("l"), F.col("component").alias("lc"), F.col("d").alias("ld")), "leaders")
         if not lead.take(1):
             break
+        leaders *= 2
         pairs = here.join(lead, "bucket").where("node <> l and component <> lc").where(F.abs(F.col("d") - F.col("ld")) <= far)
         pairs = materialise(pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         used = materialise(used.union(lead.select("bucket", F.col("l").alias("node"))), "used")
