@@ -115,7 +115,7 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def sets(value: str, known=known) -> tuple[np.ndarray, np.ndarray]:
             if value not in known:
-                if len(known) >= 64:
+                if len(known) >= 16:
                     known.clear()
                 known[value] = np.unique(text.shingles(text.words([value]).hashes, SHINGLE), return_counts=True)
             return known[value]
