@@ -8,9 +8,9 @@ item's words agree there. Items shorter than the longest mask are hashed as a
 whole, once for each choice of the words that may differ.
 
 Most documents are ruled out before any seed is made, without loss: an item of
-n words of which m may differ cannot leak into a document that has none of m + 1
-chosen ones of its words. Those that the documents have least of are chosen, and
-looked up word by word.
+n words of which m may differ leaks only into documents that have k of any m + k
+of its words. Those that the documents have least of are chosen, and looked up
+word by word.
 
 Everything runs as DataFrame code on words of the lower-cased text, split at
 white space.
@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 MASKS = ("1111", "11011", "110101", "1010011")
 #: Tables of so few rows (of a word or a hash each) are broadcast; larger ones are shuffled.
 SMALL_ROWS = 100_000
+#: So many of an item's chosen words (fewer in short items) must be in a document.
+EXTRA = 4
 SPACE = "[ \\t\\n\\u000B\\f\\r]+"
 
 
@@ -82,18 +84,21 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, similarity: float, masks:
     keyed = documents.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
     vocabulary = materialise(items.select(F.explode("w").alias("x")).distinct(), "vocabulary")
     often = keyed.select(F.explode(F.split(F.lower("text"), SPACE)).alias("x")).join(_small(vocabulary), "x", "left_semi").groupBy("x").agg(F.count("*").alias("n"))
-    ranked = items.select("ik", "m", F.posexplode("w").alias("p", "x")).join(often, "x", "left")
+    ranked = items.select("ik", "m", F.size("w").alias("n_words"), F.posexplode("w").alias("p", "x")).join(often, "x", "left")
     ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("ik").orderBy(F.coalesce("n", F.lit(0)), "x", "p")))
-    telling = materialise(ranked.where(F.col("r") <= F.col("m") + 1).select("x").distinct(), "telling")
-    near = keyed.select("dk", F.explode(F.split(F.lower("text"), SPACE)).alias("x")).join(_small(telling), "x", "left_semi").select("dk").distinct()
+    upto = F.least(F.col("n_words"), F.col("m") + EXTRA)
+    telling = ranked.where(F.col("r") <= upto).groupBy("ik", (upto - F.col("m")).alias("need"), "x").agg(F.count("*").alias("weight"))
+    telling = materialise(telling, "telling")
+    near = keyed.select("dk", F.explode(F.split(F.lower("text"), SPACE)).alias("x")).join(_small(telling), "x").select("dk", "ik", "need", "x", "weight").distinct()
+    near = near.groupBy("dk", "ik", "need").agg(F.sum("weight").alias("has")).where("has >= need").select("dk", "ik")
     near = materialise(near, "near")
-    chosen = keyed.join(_small(near), "dk").select("dk", "doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("dh"))
+    chosen = keyed.join(_small(near.select("dk").distinct()), "dk").select("dk", "doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("dh"))
     chosen = materialise(chosen, "chosen")
     item_seeds = items.select("ik", F.explode(seeds(F.col("ih"), masks)).alias("s")).select("ik", F.col("s.key").alias("key"), F.col("s.at").alias("q"))
     doc_seeds = chosen.select("dk", F.explode(seeds(F.col("dh"), masks)).alias("s")).select("dk", F.col("s.key").alias("key"), F.col("s.at").alias("p"))
     item_seeds = materialise(item_seeds, "item-seeds")
     doc_seeds = doc_seeds.join(_small(item_seeds.select("key").distinct()), "key", "left_semi")
-    hits = doc_seeds.join(item_seeds, "key").select("dk", "ik", (F.col("p") - F.col("q")).alias("at")).distinct()
+    hits = doc_seeds.join(item_seeds, "key").select("dk", "ik", (F.col("p") - F.col("q")).alias("at")).join(near, ["dk", "ik"], "left_semi").distinct()
     aligned = hits.join(items.select("ik", "item_id", "ih"), "ik").join(chosen, "dk")
     begin = F.greatest(F.col("at"), F.lit(0))
     there = F.slice("dh", begin + 1, F.greatest(F.size("ih") + F.col("at") - begin, F.lit(0)))
