@@ -203,6 +203,29 @@ def test_chaining_equals_brute_force():
         assert sorted(a for c in found for a in c) == sorted(set(anchors))
 
 
+def test_chains_within_the_gap_equal_brute_force():
+    r = random.Random(9)
+    for _ in range(200):
+        gap = r.randrange(3, 40)
+        anchors = sorted({(r.randrange(120), r.randrange(120), r.randrange(1, 8)) for _ in range(r.randrange(1, 25))})
+        best = []
+        for i, (x, y, n) in enumerate(anchors):
+            steps = [(x - a - m, y - b - m, best[j]) for j, (a, b, m) in enumerate(anchors[:i])]
+            best.append(n + max([0.0, *(s - chaining.GAP_COST * (p + q) for p, q, s in steps if 0 <= p <= gap and 0 <= q <= gap)]))
+        found = chaining.chains(anchors, max_gap=gap)
+        assert sorted(a for c in found for a in c) == anchors
+        assert all(0 <= b[i] - a[i] - a[2] <= gap for c in found for a, b in zip(c, c[1:]) for i in (0, 1))
+        first = found[0]
+        assert abs(first[0][2] + sum(b[2] - chaining.GAP_COST * (b[0] - a[0] - a[2] + b[1] - a[1] - a[2]) for a, b in zip(first, first[1:])) - max(best)) < 1e-9
+
+
+def test_a_second_passage_beyond_the_gap_is_found(spark):
+    one, two = words(100, 31, 10**6), words(60, 32, 10**6)
+    rows = [(1, words(30, 33, 10**6) + one + words(100, 34, 10**6) + two), (2, one + words(100, 35, 10**6) + two + words(30, 36, 10**6))]
+    got = chaining.passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["source_start"], r["matched"]) for r in got) == [(2, 0, 100, 30, 100), (2, 200, 260, 230, 60)]
+
+
 def test_edit_matches_of_gaps():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert chaining._edit_matches(a, np.array([1, 9, 3, 5], np.uint64)) == 3

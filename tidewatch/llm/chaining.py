@@ -6,13 +6,14 @@ seed's first document leads: every other occurrence of the seed is matched with
 the leader's, so the matches are no more than the seeds, however many documents
 share a passage. Matches of one document with one leader are merged into
 anchors where they continue one another, and chained: among anchors that follow
-in both documents, a Fenwick tree over the leader's positions yields the best
-predecessor, a gap costing its words. Chains are aligned word by word, between
+in both documents with no gap over MAX_GAP, a segment tree over the leader's
+positions yields the best predecessor, a gap costing its words. Chains are aligned word by word, between
 anchors and outwards from both ends, and are passages if long and alike enough.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,38 +73,47 @@ def merge(x: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int, int]]:
 
 
 def chains(anchors: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[tuple[int, int, int]]]:
-    """Disjoint chains of anchors, best first. An anchor follows another if it begins after its end in both texts."""
+    """Disjoint chains of anchors, best first. An anchor follows another if it begins in both texts after its end, by max_gap at most."""
     todo = sorted(anchors)
-    ends = sorted({y + n for _, y, n in todo})
-    place = {y: i + 1 for i, y in enumerate(ends)}
-    tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(ends) + 1)
-    score, prior = [0.0] * len(todo), [-1] * len(todo)
-    # an anchor becomes a predecessor once the sweep over x has passed its end
-    waiting = sorted(range(len(todo)), key=lambda i: todo[i][0] + todo[i][2])
-    w = 0
-    from bisect import bisect_right
-
+    # leaves of a segment tree: anchors by their ends in y, so that a range of ends is a range of leaves
+    by_end = sorted(range(len(todo)), key=lambda i: todo[i][1] + todo[i][2])
+    ends = [todo[i][1] + todo[i][2] for i in by_end]
+    leaf = {i: p for p, i in enumerate(by_end)}
+    size, none = len(todo), (-1e18, -1)
+    tree: list[tuple[float, int]] = [none] * (2 * size)
+    score, prior = [0.0] * size, [-1] * size
+
+    def put(i: int, value: tuple[float, int]) -> None:
+        p = leaf[i] + size
+        tree[p] = value
+        while p > 1:
+            p //= 2
+            tree[p] = max(tree[2 * p], tree[2 * p + 1])
+
+    # an anchor is a predecessor from when the sweep over x has passed its end until its end is max_gap behind
+    waiting = sorted(range(size), key=lambda i: todo[i][0] + todo[i][2])
+    w = gone = 0
     for i, (x, y, n) in enumerate(todo):
-        while w < len(waiting) and todo[waiting[w]][0] + todo[waiting[w]][2] <= x:
+        while w < size and todo[waiting[w]][0] + todo[waiting[w]][2] <= x:
             j = waiting[w]
             xj, yj, nj = todo[j]
             # gap cost is gap_cost * ((x - end of j in x) + (y - end of j in y)): the part of j is fixed
-            value = (score[j] + gap_cost * (xj + nj + yj + nj), j)
-            p = place[yj + nj]
-            while p < len(tree):
-                if value > tree[p]:
-                    tree[p] = value
-                p += p & -p
+            put(j, (score[j] + gap_cost * (xj + nj + yj + nj), j))
             w += 1
-        best, p = (-1e18, -1), bisect_right(ends, y)
-        while p:
-            if tree[p] > best:
-                best = tree[p]
-            p -= p & -p
-        gain, j = best[0] - gap_cost * (x + y), best[1]
-        near = j >= 0 and x - todo[j][0] - todo[j][2] <= max_gap and y - todo[j][1] - todo[j][2] <= max_gap
-        score[i] = n + (gain if near and gain > 0 else 0.0)
-        prior[i] = j if near and gain > 0 else -1
+        while gone < w and todo[waiting[gone]][0] + todo[waiting[gone]][2] < x - max_gap:
+            put(waiting[gone], none)
+            gone += 1
+        best, lo, hi = none, bisect_left(ends, y - max_gap) + size, bisect_right(ends, y) + size
+        while lo < hi:
+            if lo & 1:
+                best, lo = max(best, tree[lo]), lo + 1
+            if hi & 1:
+                hi -= 1
+                best = max(best, tree[hi])
+            lo, hi = lo // 2, hi // 2
+        gain = best[0] - gap_cost * (x + y)
+        score[i] = n + max(gain, 0.0)
+        prior[i] = best[1] if gain > 0 else -1
     taken, out = set(), []
     for i in sorted(range(len(todo)), key=lambda i: (-score[i], i)):
         chain = []
