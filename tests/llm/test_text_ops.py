@@ -226,6 +226,21 @@ def test_a_second_passage_beyond_the_gap_is_found(spark):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["source_start"], r["matched"]) for r in got) == [(2, 0, 100, 30, 100), (2, 200, 260, 230, 60)]
 
 
+def test_a_passage_that_earlier_documents_hold_in_parts_is_found(spark):
+    p = words(60, 41, 10**6)
+    rows = [(1, words(30, 42, 10**6) + p[:40] + words(30, 43, 10**6)), (2, words(30, 44, 10**6) + p[20:] + words(30, 45, 10**6)), (3, words(30, 46, 10**6) + p + words(9, 47, 10**6)), (4, p + words(30, 48, 10**6))]
+    got = chaining.passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert [tuple(r) for r in got] == [(4, 0, 60, 3, 30, 90, 60)]
+
+
+def test_a_passage_at_a_later_place_of_the_leader_is_found(spark):
+    p = words(60, 51, 10**6)
+    parts = [w for i in (0, 13, 26) for w in p[i : i + 34] + words(86, 52 + i, 10**6)]
+    rows = [(1, parts + p + words(20, 56, 10**6)), (2, words(25, 57, 10**6) + p)]
+    got = chaining.passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert [tuple(r) for r in got] == [(2, 25, 85, 1, 360, 420, 60)]
+
+
 def test_edit_matches_of_gaps():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert chaining._edit_matches(a, np.array([1, 9, 3, 5], np.uint64)) == 3

@@ -3,8 +3,10 @@
 Seeds are minimizers, the word k-mers of least hash in every window of WINDOW
 successive ones, so that equal stretches of k + WINDOW - 1 words share one. A
 seed's first document leads: every other occurrence of the seed is matched with
-the leader's, so the matches are no more than the seeds, however many documents
-share a passage. Matches of one document with one leader are merged into
+all of the leader's. What that does not tell is matched once more with every
+earlier document: a chain of MIN_SPAN words holds a link, two seeds at most FAR
+words apart, so two documents that share a link which no passage told so far
+holds are matched on all the seeds they share. Matches of one document with one leader are merged into
 anchors where they continue one another, and chained: among anchors that follow
 in both documents with no gap over MAX_GAP, a segment tree over the leader's
 positions yields the best predecessor, a gap costing its words. Chains are aligned word by word, between
@@ -34,6 +36,9 @@ MIN_SPAN = 20
 DROP = 6
 #: Longest gap between anchors that is aligned in full, in words; longer ones end a chain.
 MAX_GAP = 60
+#: Most words from the first seed of a chain to the seed that makes it MIN_SPAN long: in its own document, and in
+#: the other, where each of the anchors in so short a span may be followed by a gap.
+NEAR, FAR = MIN_SPAN + MAX_GAP, MIN_SPAN + MAX_GAP * ((MIN_SPAN - 1) // K)
 
 
 def minimizers(hashes: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +192,29 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[a:b][of]), pa.array(at.astype(np.int32))], ["seed", "doc", "at"])
 
 
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, its shared seeds, its passages) to links, and whether one that makes a chain lies in no passage."""
+    for batch in batches:
+        for doc, found, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            at, seed = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.argsort(at, kind="stable")
+            at, seed = at[order].astype(np.int64), seed[order].view(np.uint64)
+            lo, hi = np.searchsorted(at, at + K), np.searchsorted(at, at + FAR, side="right")
+            for a in range(0, len(at), 1 << 10):  # in blocks, to bound the memory
+                n = hi[a : a + (1 << 10)] - lo[a : a + (1 << 10)]
+                i = np.repeat(np.arange(a, a + len(n)), n)
+                if not len(i):
+                    continue
+                k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
+                open_ = (at[k] - at[i] >= MIN_SPAN - K) & (at[k] - at[i] <= NEAR)
+                for r in told or ():
+                    open_ &= (at[i] < r["start"]) | (at[k] + K > r["end"])
+                keys, of = np.unique(text.mix(seed[i] * np.uint64(text.BASE) + seed[k]), return_inverse=True)
+                some = np.zeros(len(keys), bool)
+                some[of[open_]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc, np.int64)), pa.array(some)], ["link", "doc", "open"])
+
+
 _CHAIN = "doc long, lead long, xs array<int>, ys array<int>, ns array<int>"
 
 
@@ -234,8 +262,9 @@ def passages(documents: DataFrame) -> DataFrame:
     """Shared passages: doc_id, start_word, end_word, source_id, source_start, source_end, matched.
 
     A row says that words [start_word, end_word) of doc_id repeat those of
-    source_id, the document of least id among those that share the seeds, with
-    ``matched`` equal words: 50 words or more of which four fifths agree.
+    source_id, an earlier document, with ``matched`` equal words: 50 words or
+    more of which four fifths agree. It is the document of least id among those
+    that share the seeds, and any other where that one does not tell a passage.
     Repeats within one document are not told. Documents without an id take no
     part; rows that share an id are one document each with the text that sorts
     first; texts that are null or shorter than a seed have no passages, and an
@@ -244,13 +273,28 @@ def passages(documents: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     seeds = docs.select("text", "doc").mapInArrow(_seeds, "seed long, doc long, at int")
     seeds = materialise(seeds, "seeds")
-    leads = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("lead"), F.max("doc").alias("last")).where("lead.doc < last").select("seed", F.col("lead.doc").alias("lead"), F.col("lead.at").alias("y"))
-    matches = seeds.join(leads, "seed").where("doc <> lead").groupBy("doc").agg(F.collect_list(F.struct("lead", "at", "y")).alias("found"))
-    found = materialise(matches.mapInArrow(_chains, _CHAIN), "chains")
-    needed = found.select("doc").union(found.select("lead")).distinct()
-    texts = docs.join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "texts")
-    pairs = found.join(texts, "doc").join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    rows = pairs.select("doc", "lead", "xs", "ys", "ns", "text", "lead_text").mapInArrow(_aligned, "doc long, start long, end long, lead long, lead_start long, lead_end long, matched long")
-    rows = materialise(rows, "passages").distinct()
+    leads = seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("seed", "first")
+    shared = materialise(seeds.join(leads, "seed"), "shared")
+    places = shared.select("seed", F.col("doc").alias("lead"), F.col("at").alias("y"))
+
+    def told(matches: DataFrame) -> DataFrame:
+        """Passages of matches (doc, lead, x, y)."""
+        matches = matches.groupBy("doc").agg(F.collect_list(F.struct("lead", "at", "y")).alias("found"))
+        found = materialise(matches.mapInArrow(_chains, _CHAIN), "chains")
+        needed = found.select("doc").union(found.select("lead")).distinct()
+        texts = docs.join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+        texts = materialise(texts, "texts")
+        pairs = found.join(texts, "doc").join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
+        rows = pairs.select("doc", "lead", "xs", "ys", "ns", "text", "lead_text").mapInArrow(_aligned, "doc long, start long, end long, lead long, lead_start long, lead_end long, matched long")
+        return materialise(rows, "passages")
+
+    rows = told(shared.where("doc > first").join(places.join(leads.withColumnRenamed("first", "lead"), ["seed", "lead"]), "seed"))
+    # pairs that share a link which no passage of the later document holds
+    known = rows.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("told"))
+    by_doc = shared.groupBy("doc").agg(F.collect_list(F.struct("at", "seed")).alias("found")).join(known, "doc", "left")
+    links = materialise(by_doc.select("doc", "found", "told").mapInArrow(_links, "link long, doc long, open boolean"), "links")
+    earlier = links.select("link", F.col("doc").alias("lead"))
+    pairs = materialise(links.where("open").select("link", "doc").join(earlier, "link").where("lead < doc").select("doc", "lead").distinct(), "pairs")
+    rest = told(pairs.join(shared.select("doc", "seed", "at"), "doc").join(places, ["lead", "seed"]))
+    rows = rows.union(rest).distinct()
     return rows.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("lead").alias("source_id"), F.col("lead_start").alias("source_start"), F.col("lead_end").alias("source_end"), "matched")
