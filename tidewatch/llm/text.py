@@ -45,18 +45,27 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte runs [start, end)."""
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(buf)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """Hashes of the byte runs [start, end), which are in order and apart. A text of any length is hashed in stretches."""
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, side="right")))
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(BASE, hi - lo), out=sums[1:])
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = mix((sums[e] - sums[s]) * powers(INVERSE, hi - lo + 1)[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
 @dataclass
 class Words:
-    """``hashes[at[i]:at[i + 1]]`` are the words of the i-th text."""
+    """``hashes[at[i]:at[i + 1]]`` are the words of the i-th text, and ``buf_at[i + 1] - buf_at[i]`` its bytes."""
 
     hashes: np.ndarray
     at: np.ndarray
+    buf_at: np.ndarray
 
 
 def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -81,12 +90,16 @@ def joined(texts: Sequence[str | None], lower: bool = True) -> tuple[np.ndarray,
     return np.frombuffer(b"\n".join(parts), np.uint8), at
 
 
+def parts(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of bytes other than ASCII white space; the last byte is white space."""
+    edge = np.flatnonzero(np.diff(_SPACE[buf], prepend=True))
+    return edge[0::2], edge[1::2]
+
+
 def words(texts: Sequence[str | None]) -> Words:
     buf, at = joined(texts)
-    inside = ~_SPACE[buf]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Words(runs(buf, starts, ends), np.searchsorted(starts, at))
+    starts, ends = parts(buf)
+    return Words(runs(buf, starts, ends), np.searchsorted(starts, at), at)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
