@@ -235,7 +235,8 @@ def _classes(documents: DataFrame, similarity: float, scratch: Scratch) -> DataF
         """(node, text) of wanted nodes; only their texts are shuffled."""
         wanted = scratch.keep(wanted.distinct().join(nodes.select("node", "rep.did", "rep.xx"), "node"), "wanted")
         rows = keyed.join(F.broadcast(wanted) if wanted.count() <= SMALL_ROWS else wanted, ["did", "xx"]).select("node", "text")
-        return rows.dropDuplicates(["node"])  # repeated rows of one text
+        # repeated rows of one text count once; a table of its own can be split where one node is joined with many
+        return scratch.keep(rows.dropDuplicates(["node"]), "texts")
 
     pairs = scratch.keep(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
