@@ -23,8 +23,11 @@ from .store import discard, materialise
 
 #: Vectors of a query block and of a candidate block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
+_LOW = np.iinfo(np.int64).min
 #: Bits of the score dropped in each pass.
 SHIFTS = (14, 7, 0)
+#: Vectors with a component from here on are kept in blocks of their own.
+_SMALL = 2**20
 _BLOCK = "dim int, n int, ids binary, vectors binary"
 
 
@@ -35,30 +38,44 @@ def _pack(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             lists = batch.column(1)
             dims = np.diff(np.asarray(lists.offsets))
             flat = np.floor(256 * np.asarray(lists.flatten(), np.float64))
-            if len(flat) and np.abs(flat).max() >= 2**27:
-                raise ValueError("a component is too large for exact scores")
             starts = np.concatenate(([0], np.cumsum(dims)))
+            large = np.zeros(len(dims), bool)
+            large[np.repeat(np.arange(len(dims)), dims)[np.abs(flat) >= _SMALL]] = True
             rows = []
-            for dim in np.unique(dims):
-                of = np.flatnonzero(dims == dim)
+            for dim, wide in sorted({*zip(dims.tolist(), large.tolist(), strict=True)}):
+                of = np.flatnonzero((dims == dim) & (large == wide))
                 for a in range(0, len(of), size):
                     part = of[a : a + size]
-                    vectors = flat[starts[part][:, None] + np.arange(dim)].astype(np.int32)
-                    rows.append((int(dim), len(part), ids[part].astype(np.int64).tobytes(), vectors.tobytes()))
+                    vectors = flat[starts[part][:, None] + np.arange(dim)].astype(np.float64 if wide else np.int32)
+                    rows.append((dim, len(part), ids[part].astype(np.int64).tobytes(), vectors.tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("dim", "n", "ids", "vectors"), r, strict=True)) for r in rows], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
     return pack
 
 
+def _matrix(row: dict, name: str, n: int) -> np.ndarray:
+    """Whole numbers, as int32 or, where they are large, as float64."""
+    raw = row[name]
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * row["dim"] else np.float64).reshape(n, row["dim"])
+
+
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers; those beyond a long are the nearest long but the least."""
+    bound = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    if bound < 2**53:
+        return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return q.astype(np.int64) @ c.T.astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(q) @ whole(c).T, _LOW + 1, 2**63 - 1).astype(np.int64)
+
+
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids, scores, and which of them are of a query with itself."""
     q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    q, c = (np.frombuffer(row[k], np.int32).reshape(-1, row["dim"]) for k in ("q_vectors", "vectors"))
-    kind = np.float64 if row["dim"] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**53 else np.int64
-    return q_ids, c_ids, (q.astype(kind) @ c.T.astype(kind)).astype(np.int64), q_ids[:, None] == c_ids[None, :]
+    return q_ids, c_ids, products(_matrix(row, "q_vectors", len(q_ids)), _matrix(row, "vectors", len(c_ids))), q_ids[:, None] == c_ids[None, :]
 
 
-_LOW = np.iinfo(np.int64).min
 
 
 def _count(k: int, shift: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -113,7 +130,10 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, *, id_col: str = "
     identifier or vector is null, or whose vector is empty or holds a null or
     non-finite component, take no part; vectors of different lengths are not
     compared. Of several rows with one query identifier all are candidates and
-    the smallest vector is the query. An empty table gives an empty result.
+    the smallest vector is the query, and each scores against rows of other
+    identifiers only. Scores are exact whatever the size of a component; one that a
+    long cannot hold is told, and ranked, as the nearest long. Other columns are
+    not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
