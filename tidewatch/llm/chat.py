@@ -102,14 +102,40 @@ def masked(formatted: Column, spans: Column) -> Column:
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
+def event_log(messages: DataFrame) -> DataFrame:
+    """The log that a chat service would keep of ``messages`` (conv_id, turn, role, text): conv_id, seq, turn, kind, role, text.
+
+    An assistant's turn is streamed, discarded half-way, regenerated and streamed
+    again in two deltas; any other turn is sent as a draft and then edited.
+    Turns must be unique within a conversation.
+    """
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+
+    def told(*events: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), said.alias("text")) for i, (kind, said) in enumerate(events)))
+
+    streamed = told(("delta", F.reverse(first)), ("regenerate", F.lit(None).cast("string")), ("delta", first), ("delta", second))
+    edited = told(("message", F.concat(F.lit("draft: "), second)), ("edit", text))
+    rows = messages.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return rows.select("conv_id", (F.col("turn") * 4 + F.col("e.step")).alias("seq"), "turn", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
+
+
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from them."""
+    """What the formatted conversations hold, read back from them.
+
+    The table holds final messages only, so they are told as an event log
+    first, and the log is folded. Null conv_ids are one conversation, null
+    turns sort first, null roles and texts are empty; repeated rows are
+    messages of their own. A long text is kept whole. Columns other than these
+    four are not read. An empty table gives the probe alone.
+    """
     spark = conversations.sparkSession
     probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
     # rows that share a turn are messages of their own, in order of role and text
     numbered = rows.withColumn("seq", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
-    out = render(fold_events(numbered.select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")))
+    out = render(fold_events(event_log(numbered.select("conv_id", F.col("seq").alias("turn"), "role", "text"))))
     out = out.withColumn("_turns", parse(F.col("formatted"))).withColumn("_loss", masked(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
