@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .store import discard, materialise
+from .store import discard, free_name, materialise
 
 BLANKS = " \t\r\f\u000b"
 
@@ -77,7 +77,7 @@ def repeated_runs(documents: DataFrame) -> tuple[DataFrame, int]:
         smaller = F.coalesce(F.sum("n").over(W.partitionBy("rank").orderBy("second").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         groups = materialise(groups.withColumn("smaller", smaller), "groups")
         if not groups.where("n > 1 and second >= 0").take(1):
-            discard(paired)
+            discard(paired, groups)
             break
         longer = (F.col("second") >= 0) & (F.col("n") > 1) & (F.struct("doc_id", "dk", "ord") > F.col("first"))
         fresh = paired.join(groups, ["rank", "second"]).select("doc_id", "dk", "ord", "pos", "wordy", (F.col("rank") + F.col("smaller")).alias("rank"), F.when(longer, F.least(F.lit(2 * reach), F.col("left"))).otherwise(F.col("depth")).cast("long").alias("depth"), "left")
@@ -96,38 +96,46 @@ def later_copies(documents: DataFrame) -> DataFrame:
     return gone.groupBy("dk").agg(F.collect_set("pos").alias("removed"))
 
 
+def _cut(documents: DataFrame) -> tuple[DataFrame, str, str]:
+    """``documents`` with later copies cut from ``text``, and the names of two columns more: lines, and lines removed."""
+    dk, gone, lines, removed = (free_name(documents, c) for c in ("_dk", "_gone", "_lines", "_removed"))
+    d = documents.withColumn(dk, F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text")))
+    d = d.join(later_copies(documents).select(F.col("dk").alias(dk), F.col("removed").alias(gone)), dk, "left")
+    split = F.split("text", "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone), lambda i: F.get(split, i))
+    cut = d.select(
+        *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias(lines),
+        F.coalesce(F.when(F.col(gone).isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias(removed),
+    )
+    return cut, lines, removed
+
+
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with later copies of repeated line runs cut from ``text``, and ``_lines``, ``_removed`` counts.
+    """``documents`` with later copies of repeated line runs cut from ``text``; other columns stay, whatever their names.
 
     A run of two lines or more counts, and a single line that holds two words;
     lines are compared without blanks around them; blank lines neither count
     nor break a run, and stay. The first copy, by doc_id (nulls first) and
     line, stays whole. Rows with one id and one text are one document and keep
-    their lines alike. Null texts stay null and have no lines.
+    their lines alike. Null texts stay null and have no lines; an empty text is
+    one blank line. A long text is taken whole, line by line. An empty table
+    gives an empty table.
     """
-    removed = later_copies(documents)
-    d = documents.withColumn("_dk", F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text")))
-    d = d.join(removed.withColumnRenamed("dk", "_dk").withColumnRenamed("removed", "_gone"), "_dk", "left")
-    split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    return d.select(
-        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("_lines"),
-        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("_removed"),
-    )
+    return _cut(documents)[0].select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
     """:func:`without_repeats` with ``n_chars``, if there is one, brought up to date; a document that has lost all its lines goes."""
-    d = without_repeats(documents)
-    d = d.where((F.col("_removed") == 0) | (F.length(F.btrim("text", F.lit(BLANKS + "\n"))) > 0))
-    return d.select(*(F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
+    d, _, removed = _cut(documents)
+    d = d.where((F.col(removed) == 0) | (F.length(F.btrim("text", F.lit(BLANKS + "\n"))) > 0))
+    return d.select(*(F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
 
 
 def line_report(documents: DataFrame) -> DataFrame:
     """What is left of each document: doc_id, n_lines, n_removed, kept_chars, kept_sha256."""
-    d = without_repeats(documents.select("doc_id", "text"))
-    return d.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_lines")).cast("long").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    d, lines, removed = _cut(documents.select("doc_id", "text"))
+    return d.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col(lines)).cast("long").alias("n_lines"), F.col(removed).alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 #: The same in SQL: a line goes if it, or a pair of neighbours it is in, occurred before.
