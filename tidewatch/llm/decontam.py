@@ -4,7 +4,7 @@ A seed is the hash of the words under a fixed mask; words at the mask's gaps
 may differ. Seeds of the benchmark's items are joined with those of the
 documents; each hit proposes an alignment of a whole item with a place in a
 document, and the alignment is a leak if at least the wanted share of the
-item's words agree there. Items shorter than the longest mask are hashed as a
+item's words agree there. Items of fewer than LEAST words are hashed as a
 whole, once for each choice of the words that may differ.
 
 Most documents are ruled out before any seed is made, without loss: an item of
@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .store import materialise
+from .store import free_name, materialise
 
 SIMILARITY = 0.8
-#: Masks (1: hashed). Together they hit every item of 7 words or more of which a fifth at most differs (tests show it).
-MASKS = ("1111", "11011", "110101", "1010011")
+#: Masks (1: hashed). Together they hit every item of LEAST words or more of which a fifth at most differs (tests show it).
+MASKS, LEAST = ("10111", "11011", "100111"), 7
 #: Tables of so few rows (of a word or a hash each) are broadcast; larger ones are shuffled.
 SMALL_ROWS = 100_000
 #: So many of an item's chosen words (fewer in short items) must be in a document.
@@ -68,9 +68,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, similarity: float = SIM
     The best alignment of the pair is told: the most words matched, then the
     first place. Null ids are ids like others; rows with one id and one text,
     and items with one id and one text, count once. Texts that are null or have no words hold
-    nothing and leak nowhere. Without documents or items there are no rows.
+    nothing and leak nowhere. A long text is read whole. Columns other than
+    the ids and texts are not read. Without documents or items there are no rows.
     """
-    items = benchmark.where("text is not null").select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("ik"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     return _leaks(documents, benchmark, similarity, masks).drop("dk")
 
 
@@ -78,7 +78,7 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, similarity: float, masks:
     allowed = F.floor(F.size("w") * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     items = benchmark.where("text is not null").select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("ik"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = materialise(items.select("item_id", "ik", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("ih"), allowed.alias("m")), "items")
-    longest = max(map(len, masks))
+    longest = max(LEAST, *map(len, masks))
     sizes = items.where(F.size("ih") < longest).select(F.size("ih").alias("n"), "m").distinct().collect()  # fewer than a mask is long
     masks = [*masks, *(k for r in sizes for k in short_masks(r["n"], r["m"]))]
     keyed = documents.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk"))
@@ -111,10 +111,11 @@ def _leaks(documents: DataFrame, benchmark: DataFrame, similarity: float, masks:
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """``documents`` without those that hold a benchmark item; null texts stay."""
-    bad = _leaks(documents, benchmark, similarity, MASKS).select(F.col("dk").alias("_dk")).distinct()
+    """``documents`` without those that hold a benchmark item, with all their columns; null texts stay."""
+    dk = free_name(documents, "_dk")
+    bad = _leaks(documents, benchmark, similarity, MASKS).select(F.col("dk").alias(dk)).distinct()
     # few documents leak as a rule, but their number has no bound
-    return documents.withColumn("_dk", F.xxhash64("doc_id", "text")).join(_small(materialise(bad, "leaky")), "_dk", "left_anti").select(*documents.columns)
+    return documents.withColumn(dk, F.xxhash64("doc_id", "text")).join(_small(materialise(bad, "leaky")), dk, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 #: The same in SQL: every alignment of every item that shares at least one word there.
