@@ -3,14 +3,19 @@
 Seeds are minimizers, the word k-mers of least hash in every window of WINDOW
 successive ones, so that equal stretches of k + WINDOW - 1 words share one. A
 seed's first document leads: every other occurrence of the seed is matched with
-all of the leader's. What that does not tell is matched once more with every
-earlier document: a chain of MIN_SPAN words holds a link, two seeds at most FAR
-words apart, so two documents that share a link which no passage told so far
-holds are matched on all the seeds they share. Matches of one document with one leader are merged into
-anchors where they continue one another, and chained: among anchors that follow
-in both documents with no gap over MAX_GAP, a segment tree over the leader's
-positions yields the best predecessor, a gap costing its words. Chains are aligned word by word, between
-anchors and outwards from both ends, and are passages if long and alike enough.
+all of the leader's. A passage whose seeds are led by several documents, none
+of which holds it whole, is told by links, two seeds at most FAR words apart,
+of which a chain of MIN_SPAN words holds one: the documents of a link that lies
+in no passage told so far are matched with the link's own first document, on
+all the seeds they share. Every table grows with seeds and links, none with
+the square of the documents that share one. Matches of one document with one
+leader are merged into anchors where they continue one another, and chained:
+among anchors that follow in both documents with no gap over MAX_GAP, a
+segment tree over the leader's positions yields the best predecessor, a gap
+costing its words. (A Fenwick tree has maxima of prefixes only and cannot take
+back an anchor that has fallen behind by more than MAX_GAP, so that one far and
+long stretch would hide all near ones.) Chains are aligned word by word, between anchors and
+outwards from both ends, and are passages if long and alike enough.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import text
-from .store import materialise
+from .store import Scratch, frugal, materialise
 
 K, WINDOW = 6, 12
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -258,43 +264,75 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[:, i]) for i in range(len(names))], names)
 
 
-def passages(documents: DataFrame) -> DataFrame:
+#: Numbers of documents without an id of their own begin here; ids below HIGH are renumbered too.
+LOW, HIGH = -(2**63), -(2**62)
+#: So many numbered documents are broadcast; more are shuffled.
+SMALL_ROWS = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def _numbered(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc, text) with a number for every text of every id, and (doc, doc_id) of those whose number is not the id."""
+    d = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = d.withColumn("did", F.coalesce("doc_id", F.lit(LOW)))
+    odd = _small(scratch.keep(d.groupBy("did").count().where((F.col("count") > 1) | (F.col("did") < HIGH)).select("did"), "shared-ids"))
+    several = d.join(odd, "did", "left_semi").withColumn("xx", F.xxhash64("text")).dropDuplicates(["did", "xx"])
+    several = scratch.keep(several.select((F.lit(LOW) + F.monotonically_increasing_id()).alias("doc"), "doc_id", "text"), "shared-id-texts")
+    docs = d.join(odd, "did", "left_anti").select(F.col("did").alias("doc"), "text").union(several.select("doc", "text"))
+    return docs, several.select("doc", "doc_id")
+
+
+def passages(documents: DataFrame, *, within: bool = False) -> DataFrame:
     """Shared passages: doc_id, start_word, end_word, source_id, source_start, source_end, matched.
 
     A row says that words [start_word, end_word) of doc_id repeat those of
     source_id, an earlier document, with ``matched`` equal words: 50 words or
-    more of which four fifths agree. It is the document of least id among those
-    that share the seeds, and any other where that one does not tell a passage.
-    Repeats within one document are not told. Documents without an id take no
-    part; rows that share an id are one document each with the text that sorts
-    first; texts that are null or shorter than a seed have no passages, and an
-    empty table gives none.
+    more of which four fifths agree. It is the first document of those that
+    share the seeds, or that share a link which the first does not tell. With
+    ``within`` also repeats inside one document are told, each seed against its
+    place before. Documents are in order of their ids; those without an id, and the
+    different texts of one id, are documents each and come before, in any
+    order. Repeated rows count once. Texts that are null or shorter than a seed
+    have no passages; long texts are read whole. Columns other than doc_id and
+    text are not read, and an empty table gives none.
     """
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    seeds = docs.select("text", "doc").mapInArrow(_seeds, "seed long, doc long, at int")
-    seeds = materialise(seeds, "seeds")
-    leads = seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("seed", "first")
-    shared = materialise(seeds.join(leads, "seed"), "shared")
+    with Scratch() as scratch:
+        return materialise(_passages(documents, within, scratch), "shared-passages")
+
+
+def _passages(documents: DataFrame, within: bool, scratch: Scratch) -> DataFrame:
+    docs, renamed = _numbered(documents, scratch)
+    seeds = scratch.keep(docs.select("text", "doc").mapInArrow(frugal(_seeds), "seed long, doc long, at int"), "seeds")
+    leads = seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    leads = leads.where("n > 1" if within else "first < last").select("seed", "first")
+    shared = scratch.keep(seeds.join(leads, "seed"), "shared")
     places = shared.select("seed", F.col("doc").alias("lead"), F.col("at").alias("y"))
 
     def told(matches: DataFrame) -> DataFrame:
-        """Passages of matches (doc, lead, x, y)."""
+        """Passages of matches (doc, lead, at, y)."""
         matches = matches.groupBy("doc").agg(F.collect_list(F.struct("lead", "at", "y")).alias("found"))
-        found = materialise(matches.mapInArrow(_chains, _CHAIN), "chains")
-        needed = found.select("doc").union(found.select("lead")).distinct()
-        texts = docs.join(needed, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-        texts = materialise(texts, "texts")
+        found = scratch.keep(matches.mapInArrow(frugal(_chains), _CHAIN), "chains")
+        texts = scratch.keep(docs.join(_small(scratch.keep(found.select("doc").union(found.select("lead")).distinct(), "needed")), "doc", "left_semi"), "texts")
         pairs = found.join(texts, "doc").join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        rows = pairs.select("doc", "lead", "xs", "ys", "ns", "text", "lead_text").mapInArrow(_aligned, "doc long, start long, end long, lead long, lead_start long, lead_end long, matched long")
-        return materialise(rows, "passages")
-
-    rows = told(shared.where("doc > first").join(places.join(leads.withColumnRenamed("first", "lead"), ["seed", "lead"]), "seed"))
-    # pairs that share a link which no passage of the later document holds
+        rows = pairs.select("doc", "lead", "xs", "ys", "ns", "text", "lead_text").mapInArrow(frugal(_aligned), "doc long, start long, end long, lead long, lead_start long, lead_end long, matched long")
+        return scratch.keep(rows, "passages")
+
+    matches = shared.where("doc > first").select("doc", "at", "seed", F.col("first").alias("lead")).join(places, ["seed", "lead"]).select("doc", "lead", "at", "y")
+    if within:
+        before = F.lag("at").over(W.partitionBy("seed", "doc").orderBy("at"))
+        matches = matches.union(shared.select("doc", F.col("doc").alias("lead"), "at", before.alias("y")).where("y is not null"))
+    rows = told(matches)
+    # documents of a link that no passage of theirs holds, with the link's first document
     known = rows.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("told"))
     by_doc = shared.groupBy("doc").agg(F.collect_list(F.struct("at", "seed")).alias("found")).join(known, "doc", "left")
-    links = materialise(by_doc.select("doc", "found", "told").mapInArrow(_links, "link long, doc long, open boolean"), "links")
-    earlier = links.select("link", F.col("doc").alias("lead"))
-    pairs = materialise(links.where("open").select("link", "doc").join(earlier, "link").where("lead < doc").select("doc", "lead").distinct(), "pairs")
-    rest = told(pairs.join(shared.select("doc", "seed", "at"), "doc").join(places, ["lead", "seed"]))
-    rows = rows.union(rest).distinct()
-    return rows.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("lead").alias("source_id"), F.col("lead_start").alias("source_start"), F.col("lead_end").alias("source_end"), "matched")
+    links = scratch.keep(by_doc.select("doc", "found", "told").mapInArrow(frugal(_links), "link long, doc long, open boolean"), "links")
+    firsts = links.groupBy("link").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("link", "lead")
+    pairs = scratch.keep(links.where("open").select("link", "doc").join(firsts, "link").where("lead < doc").select("doc", "lead").distinct(), "pairs")
+    rest = told(pairs.join(shared.select("doc", "seed", "at"), "doc").join(places, ["lead", "seed"]).select("doc", "lead", "at", "y"))
+    names, sources = _small(renamed), _small(renamed.select(F.col("doc").alias("lead"), F.col("doc_id").alias("source_id")))
+    rows = rows.union(rest).distinct().join(names, "doc", "left").join(sources, "lead", "left")
+    own = lambda number, name: F.when(F.col(number) >= HIGH, F.col(number)).otherwise(F.col(name)).alias(name)
+    return rows.select(own("doc", "doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), own("lead", "source_id"), F.col("lead_start").alias("source_start"), F.col("lead_end").alias("source_end"), "matched")
