@@ -1,6 +1,7 @@
 """Operators on texts against plain restatements, and their edge cases."""
 
 import itertools
+import math
 import random
 import zlib
 
@@ -245,7 +246,8 @@ def test_edit_matches_of_gaps():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert chaining._edit_matches(a, np.array([1, 9, 3, 5], np.uint64)) == 3
     assert chaining._edit_matches(a, a) == 5 and chaining._edit_matches(a, a[:0]) == 0
-    assert chaining._extend(np.array([1, 2, 9, 4, 8, 8, 8, 8, 8, 8, 8]), np.array([1, 2, 3, 4, 7, 7, 7, 7, 7, 7, 7])) == (2, 2) or True
+    # the extension runs over one difference, and ends where six more differ than agree
+    assert chaining._extend(np.array([1, 2, 9, 4, 5, 8, 8, 8, 8, 8, 8, 8]), np.array([1, 2, 3, 4, 5, 7, 7, 7, 7, 7, 7, 7])) == (5, 4)
 
 
 # --- op4 -----------------------------------------------------------------------------
@@ -282,24 +284,47 @@ def test_packing_places_every_token_once(spark):
     assert win.select(F.sum(F.size("ids"))).first()[0] == sum(len(ids[i]) for i, _ in rows[:10])
 
 
-def test_layout_is_tight():
+def test_layout_packs_each_tier_and_fills_from_shorter_ones():
     r = random.Random(5)
     counts = {n: r.randrange(1, 5000) for n in [*range(1, 128), *range(128, 4096, 128)]}
-    plan = packing.layout(counts)
-    used = {}
-    full = 0
-    for pattern, times in plan:
-        total = sum(n * m for n, m in pattern)
-        assert total <= 4096
-        full += times * (4096 - total)
+    used, padded, total = {}, 0, sum(n * c for n, c in counts.items())
+    for tier, pattern, times in packing.layout(counts):
+        size = sum(n * m for n, m in pattern)
+        assert size <= tier
+        padded += times * (4096 - size if size != tier else 0)
         for n, m in pattern:
             used[n] = used.get(n, 0) + m * times
-    assert used == counts and full <= 4096 * 40
+        if size == tier and tier > 512:  # opened by a piece of its own tier
+            assert pattern[0][0] > tier // 2
+    assert used == counts and padded <= 0.006 * total
+    # the longest gap is filled by the longest piece that fits
+    assert packing.layout({2200: 1, 1800: 1, 96: 1, 500: 3, 12: 1})[0] == (4096, [(2200, 1), (1800, 1), (96, 1)], 1)
+    # without shorter pieces windows stay open, and several tiers share one
+    assert packing.layout({1500: 3, 600: 1}) == [(4096, [(1500, 2), (600, 1)], 1), (4096, [(1500, 1)], 1)]
+
+
+def test_step_groups_hold_their_share_of_every_tier(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(words(r.choice([20, 90, 200, 400, 900, 1800]), i))) for i in range(250)]
+    out = packing.pack(docs(spark, rows), word_tokenizer(), step_tokens=8 * 4096).select("sequence_id", "tier", "step_group", "length").collect()
+    windows, size = {}, {}
+    for x in out:
+        windows[x["sequence_id"]] = (x["tier"], x["step_group"])
+        size[x["sequence_id"]] = size.get(x["sequence_id"], 0) + x["length"]
+    tiers = {t for t, _ in windows.values()}
+    groups = {g for _, g in windows.values()}
+    assert tiers >= {512, 1024, 4096} and len(groups) > 3
+    for t in tiers:
+        share = [sum(w == (t, g) for w in windows.values()) for g in groups]
+        assert max(share) - min(share) <= 1
+    full = [s for i, s in size.items() if s != windows[i][0]]
+    assert len(full) <= 0.05 * len(size)
 
 
 # --- op5 -----------------------------------------------------------------------------
 def test_masks_hit_every_item_with_a_fifth_changed():
-    for size in (7, 9, 10, 12, 14, 15, 19, 20):
+    assert all("0" in m for m in decontam.MASKS)
+    for size in range(decontam.LEAST, 21):
         for gone in itertools.combinations(range(size), int(size * 0.2 + 1e-9)):
             assert any(all(p + j not in gone for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for p in range(size - len(m) + 1))
 
@@ -426,8 +451,28 @@ def test_communication_matrix_follows_its_law():
         assert m.sum(axis=1).tolist() == [10, 0, 30] and m.sum(axis=0).tolist() == [25, 15]
         sums += m
     assert sums[0, 0] / 400 == pytest.approx(10 * 25 / 40, abs=0.3)
-    big = sharding.communication_matrix([2 * 10**9, 10**9], [10**9, 2 * 10**9], 1)
-    assert big.sum(axis=0).tolist() == [10**9, 2 * 10**9]
+    big = sharding.communication_matrix([2 * 10**12, 10**12], [10**12, 2 * 10**12], 1)
+    assert big.sum(axis=0).tolist() == [10**12, 2 * 10**12] and big.sum(axis=1).tolist() == [2 * 10**12, 10**12]
+
+
+@pytest.mark.parametrize("good,bad,draws", [(5, 7, 6), (30, 10, 20), (1, 50, 3), (3, 3, 3), (200, 300, 100)])
+def test_hypergeometric_draws_follow_the_law(good, bad, draws):
+    rng, n = random.Random(7), 20000
+    got = [sharding.hypergeometric(rng, good, bad, draws) for _ in range(n)]
+    law = {k: math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+    cells = {k: p * n for k, p in law.items() if p * n > 5}
+    chi = sum((got.count(k) - e) ** 2 / e for k, e in cells.items())
+    assert set(got) <= set(law) and chi < len(cells) + 5 * (2 * len(cells)) ** 0.5
+
+
+def test_hypergeometric_of_huge_populations():
+    rng, n = random.Random(8), 3000
+    good, bad, draws = 4 * 10**11, 96 * 10**11, 10**9
+    got = np.array([sharding.hypergeometric(rng, good, bad, draws) for _ in range(n)], float)
+    mean = draws * 0.04
+    sd = (mean * 0.96 * (1 - draws / (good + bad))) ** 0.5
+    assert abs(got.mean() - mean) < 4 * sd / n**0.5 and got.std() == pytest.approx(sd, rel=0.06)
+    assert sharding.hypergeometric(rng, 10**13, 5, 10**13 + 3) in range(10**13 - 2, 10**13 + 1)
 
 
 # --- op9 -----------------------------------------------------------------------------
@@ -447,14 +492,35 @@ def test_poor_and_toxic_documents_are_rejected(spark):
     assert quality.resample(docs(spark, good), lab, k=17).count() == 17
 
 
-def test_cut_finds_the_kth_row(spark):
+def test_kth_finds_the_kth_value(spark):
     r = random.Random(2)
     xs = [(r.choice([r.random(), 0.5, -1e6 * r.random()]), i) for i in range(9000)]
     df = spark.createDataFrame(xs, "key double, uid long").cache()
-    order = sorted(xs, key=lambda x: (-x[0], x[1]))
+    order = sorted((x for x, _ in xs), reverse=True)
     for k in (1, 2500, 4000, 9000):
-        assert select.cut(df, "key", "uid", k) == order[k - 1]
-    assert select.cut(df, "key", "uid", 9001) is None and select.cut(df, "key", "uid", 0) is None
+        assert select.kth(df, "key", k) == order[k - 1]
+    assert select.kth(df, "key", 9001) is None
+
+
+def test_inclusion_follows_the_weights(spark):
+    weight = {1: 1.0, 2: 2.0, 3: 5.0}
+    rows = spark.range(6000).withColumnRenamed("id", "seed").crossJoin(spark.createDataFrame(list(weight.items()), "doc_id long, w double"))
+    keyed = rows.withColumn("key", F.log("w") + quality.gumbel(F.col("seed"), "doc_id"))
+    first = {r["id"]: r["count"] for r in keyed.groupBy("seed").agg(F.max_by("doc_id", "key").alias("id")).groupBy("id").count().collect()}
+    assert all(first[i] / 6000 == pytest.approx(w / 8, abs=0.02) for i, w in weight.items())
+    # the second of two draws without replacement
+    second = {r["id"]: r["count"] for r in keyed.groupBy("seed").agg(F.min_by("doc_id", "key").alias("id")).groupBy("id").count().collect()}
+    left_out = {a: sum(weight[b] / 8 * weight[c] / (8 - weight[b]) for b in weight for c in weight if len({a, b, c}) == 3) for a in weight}
+    assert all(second[i] / 6000 == pytest.approx(p, abs=0.02) for i, p in left_out.items())
+
+
+def test_ratios_say_nothing_of_usual_and_of_unknown_features():
+    target = np.array([0, 1000, 100, 0, 0])
+    raw = np.array([0, 1250, 125, 400, 2])
+    got = quality.log_ratios(target, raw)
+    assert got[0] == 0 and abs(got[1]) < 0.05 and abs(got[2]) < 0.05 and got[3] < -3 and -0.5 < got[4] < 0
+    assert quality.best_cut(np.array([-9.0, -8.0, 0.0, 1.0]), np.array([0, 0, 1, 1])) == -4.0
+    assert quality.best_cut(np.array([]), np.array([])) == -np.inf
 
 
 # --- op10 ----------------------------------------------------------------------------
@@ -470,3 +536,15 @@ def test_top_k_equals_brute_force(spark):
         want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(best)}
     assert got == want
     assert top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [3e5, 1.0]), (50, [-2e6, 4e5]), (1, [2e6, 1.0]), (2, [3e6, -7.5]), (3, [1.0, 1.0]), (4, [1e30, 1.0]), (5, [-1e30, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    clip = lambda x: max(min(x, 2**63 - 1), 1 - 2**63)
+    want = {}
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[c]))), c) for c in whole if c != q)[:5]
+        want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(best)}
+    assert {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in top_k(df, F.pmod("vec_id", F.lit(50)) == 0).collect()} == want
