@@ -7,6 +7,8 @@ values: -1 for an unknown or new age, seven days for no history.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,32 @@ NO_HISTORY_S = 604_800.0
 CASH = ("atm", "cash")
 CUST, PAYEE, DEVICE = ["cust"], ["payee"], ["device"]
 
-#: Features by name: group and Column. Columns need a session, so the built-in ones are added at first use.
-REGISTRY: dict[str, tuple[str, Column]] = {}
+#: Features by name: group, Column, and the histories it is made of. Columns need a session, so the built-in ones are added at first use.
+REGISTRY: dict[str, tuple[str, Column, tuple[str, ...]]] = {}
+#: Histories by name: key and width, and the value to sum, or the name of the column whose distinct values count.
+HISTORIES: dict[str, tuple[list[str], int, Column | str]] = {}
 
 
-def feature(name: str, group: str, value: Column) -> None:
+def feature(name: str, group: str, value: Column, history: Sequence[str] = ()) -> None:
     """Add a feature of one's own; it becomes a column of :func:`features`."""
-    REGISTRY[name] = (group, value)
+    REGISTRY[name] = (group, value, tuple(history))
+
+
+def with_histories(tx: DataFrame, names: set[str]) -> DataFrame:
+    """Adds the named histories, those of one key in one pass."""
+    sums: dict[tuple[str, ...], dict] = {}
+    distinct: dict[tuple[tuple[str, ...], str], dict] = {}
+    for n in sorted(names):
+        key, width, value = HISTORIES[n]
+        if isinstance(value, str):
+            distinct.setdefault((tuple(key), value), {})[n] = width
+        else:
+            sums.setdefault(tuple(key), {})[n] = (width, value)
+    for key, specs in sums.items():
+        tx = fr.sums_before(tx, list(key), specs)
+    for (key, value), widths in distinct.items():
+        tx = fr.distinct_before(tx, list(key), F.col(value), widths)
+    return tx
 
 
 def _days(us: Column) -> Column:
@@ -55,41 +76,50 @@ def _register() -> None:
     feature("amount_try", "amount", amount)
     feature("amount_log", "amount", F.log1p(amount))
     feature("near_threshold", "amount", _flag(near_threshold(amount)))
-    feature("near_threshold_cnt_24h", "amount", (fr.count_before(CUST, fr.DAY, near_threshold(amount)) + near_threshold(amount).cast("int")).cast("double"))
+    HISTORIES["h_near_24h"] = (CUST, fr.DAY, near_threshold(amount).cast("int"))
+    feature("near_threshold_cnt_24h", "amount", (F.col("h_near_24h") + near_threshold(amount).cast("int")).cast("double"), ["h_near_24h"])
     for tag, width in (("1m", fr.MINUTE), ("1h", fr.HOUR), ("24h", fr.DAY), ("7d", fr.WEEK)):
-        feature(f"cnt_{tag}", "velocity", fr.count_before(CUST, width).cast("double"))
-        feature(f"sum_{tag}", "velocity", fr.sum_before(CUST, width, amount))
+        HISTORIES[f"h_cnt_{tag}"], HISTORIES[f"h_sum_{tag}"] = (CUST, width, F.lit(1)), (CUST, width, amount)
+        feature(f"cnt_{tag}", "velocity", F.col(f"h_cnt_{tag}").cast("double"), [f"h_cnt_{tag}"])
+        feature(f"sum_{tag}", "velocity", F.col(f"h_sum_{tag}").cast("double"), [f"h_sum_{tag}"])
     gap = us - F.lag("us").over(fr.ordered(CUST))
     feature("time_since_last_s", "velocity", F.when(gap < fr.WEEK, gap / F.lit(1e6)).otherwise(NO_HISTORY_S))
-    feature("distinct_payees_24h", "payee", F.size(fr.collect_before(CUST, fr.DAY, F.col("payee"))).cast("double"))
-    feature("distinct_payees_7d", "payee", F.size(fr.collect_before(CUST, fr.WEEK, F.col("payee"))).cast("double"))
+    for tag, width in (("24h", fr.DAY), ("7d", fr.WEEK)):
+        HISTORIES[f"h_payees_{tag}"] = (CUST, width, "payee")
+        feature(f"distinct_payees_{tag}", "payee", F.col(f"h_payees_{tag}").cast("double"), [f"h_payees_{tag}"])
     pair = first_seen(["cust", "payee"])
     feature("is_new_payee", "payee", _flag(_known("payee") & pair.isNull()))
     feature("payee_relation_age_d", "payee", F.when(_known("payee") & pair.isNotNull(), _days(us - pair)).otherwise(-1.0))
-    fan = F.size(F.array_union(fr.collect_before(PAYEE, fr.DAY, F.col("cust").cast("string")), F.array(F.col("cust").cast("string"))))
-    feature("payee_fan_in_24h", "payee", F.when(_known("payee"), fan.cast("double")).otherwise(0.0))
+    HISTORIES["h_senders"], HISTORIES["h_users"] = (PAYEE, fr.DAY, "cust"), (DEVICE, fr.WEEK, "cust")
+
+    def with_own(name: str) -> Column:
+        return (F.col(name) + F.when(F.col(f"_here_{name}"), 0).otherwise(1)).cast("double")
+
+    feature("payee_fan_in_24h", "payee", F.when(_known("payee"), with_own("h_senders")).otherwise(0.0), ["h_senders"])
     seen = first_seen(PAYEE)
     feature("payee_age_d", "payee", F.when(_known("payee") & seen.isNotNull(), _days(us - seen)).otherwise(-1.0))
     feature("device_missing", "device", _flag(~_known("device")))
     device = first_seen(DEVICE)
     feature("device_age_d", "device", F.when(~_known("device"), -1.0).when(device.isNull(), 0.0).otherwise(_days(us - device)))
-    users = F.size(F.array_union(fr.collect_before(DEVICE, fr.WEEK, F.col("cust").cast("string")), F.array(F.col("cust").cast("string"))))
-    feature("device_customers_7d", "device", F.when(_known("device"), users.cast("double")).otherwise(1.0))
+    feature("device_customers_7d", "device", F.when(_known("device"), with_own("h_users")).otherwise(1.0), ["h_users"])
     h = hour(us)
     feature("hour", "time", h.cast("double"))
     feature("is_night", "time", _flag(h < 6))
-    past = fr.count_before(CUST, fr.WEEK)
-    feature("night_ratio_7d", "time", F.when(past > 0, fr.count_before(CUST, fr.WEEK, h < 6) / past).otherwise(0.0))
+    HISTORIES["h_night_7d"] = (CUST, fr.WEEK, (h < 6).cast("int"))
+    ratio = F.col("h_night_7d").cast("double") / F.col("h_cnt_7d").cast("double")
+    feature("night_ratio_7d", "time", F.when(F.col("h_cnt_7d") > 0, ratio).otherwise(0.0), ["h_night_7d", "h_cnt_7d"])
     feature("is_cash_channel", "channel", _flag(F.lower("channel").isin(*CASH)))
     last = F.lag("channel").over(fr.ordered(CUST))
     feature("channel_change", "channel", _flag((gap < fr.WEEK) & _known("channel") & (F.coalesce(last, F.lit("")) != "") & (last != F.col("channel"))))
 
 
-def features(tx: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """tx_id and the named features (all of the registry by default). Spark shares windows of one partitioning."""
+def features(tx: DataFrame, names: list[str] | None = None, keep: Sequence[str] = ("tx_id",)) -> DataFrame:
+    """``keep`` and the named features (all of the registry by default)."""
     if "amount_try" not in REGISTRY:
         _register()
-    return tx.select("tx_id", *(REGISTRY[n][1].alias(n) for n in names or REGISTRY))
+    names = list(names or REGISTRY)
+    tx = with_histories(tx, {h for n in names for h in REGISTRY[n][2]})
+    return tx.select(*keep, *(REGISTRY[n][1].alias(n) for n in names))
 
 
 def static_features(tx: DataFrame, customers: DataFrame, high_risk: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scores import noisy_or
-from ..storage import materialise
+from ..storage import discard, materialise
 from . import frames as fr
 
 HUB = 200
@@ -22,26 +22,26 @@ def edge_burst(tx: DataFrame, window_us: int = fr.HOUR, threshold: int = 3) -> D
 
     Later payments of the same microsecond are not counted.
     """
-    keys = ["cust", "payee"]
-    n = F.count("*").over(fr.closed(keys, window_us)) - F.count("*").over(fr.from_here(keys)) + 1
     known = F.coalesce(F.col("payee"), F.lit("")) != ""
-    return tx.select("tx_id", F.when(known, n).otherwise(0).alias("n")).withColumn("burst", F.least(F.lit(1.0), F.col("n") / threshold))
+    n = fr.sums_before(tx.select("tx_id", "us", "cust", "payee"), ["cust", "payee"], {"n": (window_us + 1, F.lit(1))})
+    n = n.select("tx_id", F.when(known, F.col("n").cast("long") + 1).otherwise(0).alias("n"))
+    return n.withColumn("burst", F.least(F.lit(1.0), F.col("n") / threshold))
 
 
 def pass_through(tx: DataFrame, owners: DataFrame, window_us: int, min_senders: int = 2, min_inflow: float = 10_000.0) -> DataFrame:
     """Money that came in from others in the closed window before a payment and is passed on with it.
 
-    The interval join is an equi-join on the owner and the window's number: a
-    payment meets the inflow of its own window number and the one before.
+    A customer's payments and what their accounts receive are one line in time,
+    so inflow, outflow and the number of senders are running sums; no payment
+    is paired with what came in before it.
     """
-    own = tx.join(owners, "payee").select(F.col("owner").alias("cust"), F.col("us").alias("in_us"), F.col("tx_id").alias("in_tx"), F.col("cust").alias("sender"), F.col("amount").alias("in_amount"))
-    own = own.where("sender <> cust").withColumn("slot", F.floor(F.col("in_us") / F.lit(window_us)))
-    me = tx.select("tx_id", "us", "cust", "amount").withColumn("slot", F.explode(F.array(F.floor(F.col("us") / F.lit(window_us)), F.floor(F.col("us") / F.lit(window_us)) - 1)))
-    hit = (F.col("in_us") >= F.col("us") - window_us) & ((F.col("in_us") < F.col("us")) | ((F.col("in_us") == F.col("us")) & (F.col("in_tx") < F.col("tx_id"))))
-    inflow = me.join(own, ["cust", "slot"]).where(hit).groupBy("tx_id").agg(F.sum("in_amount").alias("inflow"), F.countDistinct("sender").alias("fan_in"))
     known = F.coalesce(F.col("payee"), F.lit("")) != ""
-    out = F.sum(F.when(known, F.col("amount")).otherwise(0.0)).over(fr.closed(["cust"], window_us)) - F.sum(F.when(known, F.col("amount")).otherwise(0.0)).over(fr.from_here(["cust"]))
-    j = tx.select("tx_id", "amount", out.alias("outflow")).join(inflow, "tx_id", "left").fillna({"inflow": 0.0, "fan_in": 0})
+    none = F.lit(None)
+    paid = tx.select("tx_id", "us", "cust", "amount", F.when(known, F.col("amount")).otherwise(0.0).alias("out_amount"), F.lit(0.0).alias("in_amount"), none.cast("string").alias("sender"), F.lit(True).alias("pays"))
+    got = tx.join(owners, "payee").where("owner <> cust").select("tx_id", "us", F.col("owner").alias("cust"), none.cast("double").alias("amount"), F.lit(0.0).alias("out_amount"), F.col("amount").alias("in_amount"), F.col("cust").cast("string").alias("sender"), F.lit(False).alias("pays"))
+    line = fr.sums_before(paid.union(got), ["cust"], {"outflow": (window_us + 1, F.col("out_amount")), "inflow": (window_us + 1, F.col("in_amount"))})
+    line = fr.distinct_before(line, ["cust"], F.col("sender"), {"fan_in": window_us + 1}).where("pays")
+    j = line.select("tx_id", "amount", *(F.col(c).cast("double").alias(c) for c in ("outflow", "inflow")), F.col("fan_in").cast("long").alias("fan_in"))
     ratio = F.least(F.lit(1.0), (F.col("outflow") + F.col("amount")) / F.col("inflow"))
     enough = (F.col("fan_in") >= min_senders) | (F.col("inflow") >= min_inflow)
     return j.select("tx_id", "inflow", "fan_in", F.when((F.col("inflow") > 0) & (F.col("amount") > 0) & enough, ratio).otherwise(0.0).alias("pass_through"))
@@ -110,16 +110,18 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks.select("node", "rank")
 
 
-def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
-    """node, component (least node) of an undirected graph (a, b), by star contraction."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (least node) of an undirected graph (a, b), by star contraction until nothing moves."""
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = materialise(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "components")
+        fresh = materialise(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "components")
+        discard(e)
+        e = fresh
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -155,12 +157,14 @@ def ring_statistics(tx: DataFrame, owners: DataFrame, labels: DataFrame, flagged
 
 def device_mule_scores(tx: DataFrame, window_us: int = fr.HOUR) -> DataFrame:
     """Distinct customers per device and per payee, and payees per customer, in the closed window, ramped and weighed .5, .3, .2."""
-    def distinct(key: str, value: str) -> Column:
-        seen = F.collect_set(F.struct(F.col("us").alias("us"), F.col("tx_id").alias("tx"), F.col(value).alias("v"))).over(fr.closed([key], window_us))
-        return F.size(F.array_distinct(F.transform(F.filter(seen, lambda x: (x["us"] < F.col("us")) | (x["tx"] <= F.col("tx_id"))), lambda x: x["v"])))
-
+    t = tx.select("tx_id", "us", "cust", "payee", "device")
+    counts = {}
+    for name, key, value in (("per_device", "device", "cust"), ("per_payee", "payee", "cust"), ("per_customer", "cust", "payee")):
+        t = fr.distinct_before(t, [key], F.col(value), {name: window_us + 1})
+        own = F.when(F.col(f"_here_{name}") | (F.coalesce(F.col(value).cast("string"), F.lit("")) == ""), 0).otherwise(1)
+        counts[name] = (F.col(name) + own).cast("int")
+    s = t.select("tx_id", *(c.alias(n) for n, c in counts.items()))
     ramp = lambda n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (n - 1) / 4.0))
-    s = tx.select("tx_id", distinct("device", "cust").alias("per_device"), distinct("payee", "cust").alias("per_payee"), distinct("cust", "payee").alias("per_customer"))
     return s.withColumn("score", 0.5 * ramp(F.col("per_device")) + 0.3 * ramp(F.col("per_payee")) + 0.2 * ramp(F.col("per_customer")))
 
 

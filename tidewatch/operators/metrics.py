@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..storage import running_sums
 
 
 def by_score(rows: DataFrame) -> DataFrame:
     """One row a distinct score, highest first, with running counts: s, n, pos, above_n, above_pos (inclusive: cum_n, cum_pos).
 
-    Counts are taken first, so what is put in order is one row a distinct score.
+    Counts are taken first, so what is put in order is one row a distinct score, by ranges.
     """
     g = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    w = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    return g.withColumn("cum_n", F.sum("n").over(w)).withColumn("cum_pos", F.sum("pos").over(w))
+    return running_sums(g, [F.desc("s")], {"cum_n": F.col("n"), "cum_pos": F.col("pos")})
 
 
 def rank_metrics(rows: DataFrame) -> DataFrame:
@@ -90,9 +90,7 @@ def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, smoo
 
 def time_split(rows: DataFrame, order: str = "us", train: float = 0.70, valid: float = 0.15) -> DataFrame:
     """Adds ``part``: by time, cut where the share of rows is reached; equal times stay together."""
-    g = rows.groupBy(order).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    g = g.withColumn("_upto", upto)
+    g = running_sums(rows.groupBy(order).agg(F.count("*").alias("_n")), [F.col(order)], {"_upto": F.col("_n")})
     total = rows.agg(F.count("*").alias("_all"))
     first = F.col("_upto") - F.col("_n")
     g = g.crossJoin(F.broadcast(total)).select(order, F.when(first < F.floor(F.col("_all") * train), "train").when(first < F.floor(F.col("_all") * (train + valid)), "valid").otherwise("test").alias("part"))
@@ -130,10 +128,9 @@ def empirical_tails(df: DataFrame, columns: list[str]) -> DataFrame:
     """Outlier score of each row: sum over columns of -ln of the rarer tail's share, in one table (ECOD)."""
     out = df
     for c in columns:
-        g = df.groupBy(c).agg(F.count("*").alias("_n"))
-        low = F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, 0))
+        g = running_sums(df.groupBy(c).agg(F.count("*").alias("_n")), [F.col(c)], {"_low": F.col("_n")})
         total = df.agg(F.count("*").alias("_t"))
-        tails = g.withColumn("_low", low).crossJoin(F.broadcast(total)).select(c, (-F.log(F.col("_low") / F.col("_t"))).alias(f"_l_{c}"), (-F.log((F.col("_t") - F.col("_low") + F.col("_n")) / F.col("_t"))).alias(f"_u_{c}"))
+        tails = g.crossJoin(F.broadcast(total)).select(c, (-F.log(F.col("_low") / F.col("_t"))).alias(f"_l_{c}"), (-F.log((F.col("_t") - F.col("_low") + F.col("_n")) / F.col("_t"))).alias(f"_u_{c}"))
         out = out.join(tails, c)
     parts = [F.greatest(F.col(f"_l_{c}"), F.col(f"_u_{c}")) for c in columns]
     return out.withColumn("ecod", sum(parts[1:], parts[0])).drop(*(f"_{s}_{c}" for c in columns for s in "lu"))
