@@ -31,17 +31,17 @@ def cidr_ranges(ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
 def longest_prefix(events: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     """Each event with the columns of the narrowest range that holds its address (nulls if none does).
 
-    A range of prefix p holds an address exactly if the address without its low
+    Addresses are looked up once each. A range of prefix p holds an address exactly if the address without its low
     32 - p bits is the range's base, so each prefix length in use is one
     equi-join key: no range comparison, and any number of ranges.
     """
     lengths = [r["prefix"] for r in ranges.select("prefix").distinct().collect()]  # 33 at most
-    keyed = events.withColumn("_ip", ip_number(F.col(ip))).withColumn("_e", F.monotonically_increasing_id())
-    probe = keyed.where("_ip is not null").select("_e", "_ip", F.explode(F.array(*map(F.lit, lengths))).alias("prefix"))
+    probe = events.select(F.col(ip).alias("_a")).distinct().withColumn("_ip", ip_number(F.col("_a"))).where("_ip is not null")
+    probe = probe.select("_a", "_ip", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("prefix"))
     probe = probe.withColumn("lo", F.col("_ip") - F.col("_ip") % F.pow(F.lit(2.0), 32 - F.col("prefix")).cast("long")).drop("_ip")
     value = F.struct(*(c for c in ranges.columns if c not in ("lo", "hi", "prefix")))
-    found = probe.join(ranges.select("prefix", "lo", value.alias("_v")), ["prefix", "lo"]).groupBy("_e").agg(F.max_by("_v", "prefix").alias("_v"))
-    return keyed.join(found, "_e", "left").select(*events.columns, "_v.*")
+    found = probe.join(ranges.select("prefix", "lo", value.alias("_v")), ["prefix", "lo"]).groupBy("_a").agg(F.max_by("_v", "prefix").alias("_v"))
+    return events.join(found, events[ip] == found["_a"], "left").select(*(events[c] for c in events.columns), "_v.*")
 
 
 def keyword_score(value: Column, weights: dict[str, float]) -> Column:
@@ -69,15 +69,20 @@ def exact_token_matches(queries: DataFrame, forms: DataFrame) -> DataFrame:
     return shared.groupBy("q_id", "rec_id", "f_id", "n").count().where("count = n").select("q_id", "rec_id").distinct()
 
 
-def blocking_candidates(queries: DataFrame, forms: DataFrame, shared_ngrams: int = 2) -> DataFrame:
-    """(q_id, rec_id) that share a phonetic key, or enough 3-grams of one query word."""
+def blocking_candidates(queries: DataFrame, forms: DataFrame, shared_ngrams: int = 2, phonetic: bool = True) -> DataFrame:
+    """(q_id, rec_id) that share a phonetic key, or enough 3-grams of one query word.
+
+    Each distinct query word is looked up once, however many queries have it.
+    """
     words = lambda d, c: d.withColumn("w", F.explode(tx.tokens(F.col(c))))
     q = words(queries.select("q_id", tx.fuzzy_form(F.col("name")).alias("form")), "form").select("q_id", "w").distinct()
     r = words(forms, "form").select("rec_id", "w").distinct()
-    by_sound = q.select("q_id", tx.phonetic(F.col("w")).alias("k")).join(r.select("rec_id", tx.phonetic(F.col("w")).alias("k")), "k").select("q_id", "rec_id")
-    grams = q.select("q_id", "w", F.explode(tx.ngrams(F.col("w"))).alias("g")).join(r.select("rec_id", F.explode(tx.ngrams(F.col("w"))).alias("g")).distinct(), "g")
-    by_grams = grams.groupBy("q_id", "w", "rec_id").agg(F.count("*").alias("n")).where(F.col("n") >= shared_ngrams).select("q_id", "rec_id")
-    return by_sound.union(by_grams).distinct()
+    asked = q.select("w").distinct()
+    grams = asked.select("w", F.explode(tx.ngrams(F.col("w"))).alias("g")).join(r.select("rec_id", F.explode(tx.ngrams(F.col("w"))).alias("g")).distinct(), "g")
+    found = grams.groupBy("w", "rec_id").agg(F.count("*").alias("n")).where(F.col("n") >= shared_ngrams).select("w", "rec_id")
+    if phonetic:
+        found = found.union(asked.select("w", tx.phonetic(F.col("w")).alias("k")).join(r.select("rec_id", tx.phonetic(F.col("w")).alias("k")).distinct(), "k").select("w", "rec_id"))
+    return q.join(found.distinct(), "w").select("q_id", "rec_id").distinct()
 
 
 def screen(queries: DataFrame, records: DataFrame, *, fuzzy: float = 0.93, single: float = 0.96) -> DataFrame:
@@ -93,7 +98,10 @@ def screen(queries: DataFrame, records: DataFrame, *, fuzzy: float = 0.93, singl
     pairs = blocking_candidates(queries, forms).join(exact, ["q_id", "rec_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
     q = queries.select("q_id", tx.fuzzy_form(F.col("name")).alias("qf"), F.col("birth_year").alias("qb"), F.upper("country").alias("qc"))
     r = records.select("rec_id", F.col("birth_year").alias("rb"), F.upper("country").alias("rc"))
-    likeness = pairs.where("not exact").join(q.select("q_id", "qf"), "q_id").join(forms, "rec_id").groupBy("q_id", "rec_id").agg(F.max(name_similarity("qf", "form")).alias("score"))
+    unsure = pairs.where("not exact").join(q.select("q_id", "qf"), "q_id").join(forms, "rec_id").select("q_id", "rec_id", "qf", "form")
+    # each pair of distinct forms is scored once
+    scored = unsure.select("qf", "form").distinct().withColumn("s", name_similarity("qf", "form"))
+    likeness = unsure.join(scored, ["qf", "form"]).groupBy("q_id", "rec_id").agg(F.max("s").alias("score"))
     j = pairs.join(likeness, ["q_id", "rec_id"], "left").join(q, "q_id").join(r, "rec_id")
     j = j.withColumn("score", F.when(F.col("exact"), 1.0).otherwise(F.col("score")))
     year, land = F.col("qb") == F.col("rb"), F.when((F.col("rc") != "") & (F.col("qc") != ""), F.col("qc") == F.col("rc"))
@@ -140,12 +148,23 @@ def peer_average(records: DataFrame, group: str, value: str) -> DataFrame:
     return records.withColumn("peer_average", F.when(n > 1, (total - F.col(value)) / (n - 1)).otherwise(F.col(value)))
 
 
+#: Parts that the vectors are dealt into where nothing else narrows a search.
+BLOCKS = 64
+
+
 def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector: str = "embedding", same: str | None = None) -> DataFrame:
-    """The k nearest vectors by cosine of a small, stated query set, optionally among rows equal in ``same``."""
+    """The k nearest vectors by cosine of a stated query set, among rows equal in ``same``, or among all.
+
+    Without ``same`` the vectors are dealt into blocks and every block meets
+    all queries, and keeps its own k best before these are put together.
+    """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    v = vectors.select(F.col(id_col).alias("v_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *([F.col(same).alias("s")] if same else []))
-    q = queries.select(F.col(id_col).alias("q_id"), F.transform(vector, lambda x: x.cast("double")).alias("q"), *([F.col(same).alias("s")] if same else []))
-    j = v.join(F.broadcast(q), "s") if same else v.join(F.broadcast(q))
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    block = F.pmod(F.xxhash64(id_col), F.lit(BLOCKS))
+    v = vectors.select(F.col(id_col).alias("v_id"), doubles.alias("v"), (F.col(same) if same else block).alias("s"))
+    q = queries.select(F.col(id_col).alias("q_id"), doubles.alias("q"), (F.col(same) if same else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))).alias("s"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    j = j.where("q_id <> v_id").select("q_id", "v_id", F.round(dot / (norm(F.col("q")) * norm(F.col("v"))), 6).alias("cosine"))
-    return j.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "v_id"))).where(F.col("rank") <= k)
+    j = v.join(q, "s").where("q_id <> v_id").select("q_id", "v_id", "s", F.round(dot / (norm(F.col("q")) * norm(F.col("v"))), 6).alias("cosine"))
+    for keys in (["q_id", "s"], ["q_id"]):
+        j = j.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("cosine"), "v_id"))).where(F.col("rank") <= k)
+    return j.select("q_id", "v_id", "cosine", "rank")
