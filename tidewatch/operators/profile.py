@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 ALPHA, VAR_FLOOR, MAX_DEVICES = 0.05, 0.05, 20
 LARGE_FACTOR, UNUSUAL_HOUR, RARE_CHANNEL = 1.5, 0.02, 0.05
@@ -21,19 +23,25 @@ LARGE_FACTOR, UNUSUAL_HOUR, RARE_CHANNEL = 1.5, 0.02, 0.05
 def fold_sorted(df: DataFrame, key: str, order: list[str], start: Callable[[dict], object], step: Callable[[object, dict], tuple[object, dict]], schema: str, *, partitions: int | None = None) -> DataFrame:
     """For each row the output of ``step`` (state, row) -> (state, output), rows of a key in order; ``start`` makes a key's first state from its first row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                if row[key] != now:
-                    now, state = row[key], start(row)
+        for batch in batches:
+            names = batch.schema.names
+            at = names.index(key)
+            out: dict[str, list] = {n: [] for n in kinds.names}
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if values[at] != now:
+                    now, state = values[at], start(row)
                 state, made = step(state, row)
-                out.append(made)
-            yield pd.DataFrame(out)
+                for n, column in out.items():
+                    column.append(made[n])
+            yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     dealt = df.repartition(partitions, key) if partitions else df.repartition(key)
-    return dealt.sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return dealt.sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 class Profile:
@@ -91,7 +99,7 @@ PROFILE_SCHEMA = "tx_id long, amount_ratio double, amount_zscore double, first_l
 
 
 def _clean(v):
-    return None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v
+    return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
 
 
 def profile_features(tx: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis, evaluation, features, graphs, joins, learning, records, signals
+from . import analysis, evaluation, features, full, graphs, joins, learning, records, signals
 
-PARTS = [features, joins, graphs, analysis, learning, records, signals, evaluation]
+PARTS = [features, joins, graphs, analysis, learning, records, signals, evaluation, full]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
 
