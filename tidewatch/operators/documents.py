@@ -67,7 +67,7 @@ def _name_pattern(name: Column) -> Column:
     out = F.regexp_replace(tx.fold(F.trim(name)), "[^\\p{L}\\p{N} ]", ".")
     for plain, variants in _VARIANTS.items():
         out = F.regexp_replace(out, plain, f"[{variants}]")
-    return F.concat(F.lit("(?iu)(?<![\\w])"), F.regexp_replace(out, " +", "\\\\\\\\s+"), F.lit("(?![\\w])"))
+    return F.concat(F.lit("(?iu)(?<![\\w])"), F.regexp_replace(out, " +", "\\\\s+"), F.lit("(?![\\w])"))
 
 
 def _valid(kind: str | None, x: Column) -> Column:

@@ -156,7 +156,8 @@ def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, *, id_col:
     """The k nearest vectors by cosine of a stated query set, among rows equal in ``same``, or among all.
 
     Without ``same`` the vectors are dealt into blocks and every block meets
-    all queries, and keeps its own k best before these are put together.
+    all queries, and keeps its own k best before these are put together. A
+    vector of zeros has no cosine and comes last.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     doubles = F.transform(vector, lambda x: x.cast("double"))
@@ -164,7 +165,7 @@ def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, *, id_col:
     v = vectors.select(F.col(id_col).alias("v_id"), doubles.alias("v"), (F.col(same) if same else block).alias("s"))
     q = queries.select(F.col(id_col).alias("q_id"), doubles.alias("q"), (F.col(same) if same else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))).alias("s"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    j = v.join(q, "s").where("q_id <> v_id").select("q_id", "v_id", "s", F.round(dot / (norm(F.col("q")) * norm(F.col("v"))), 6).alias("cosine"))
+    j = v.join(q, "s").where("q_id <> v_id").select("q_id", "v_id", "s", F.round(dot / F.nullif(norm(F.col("q")) * norm(F.col("v")), F.lit(0.0)), 6).alias("cosine"))
     for keys in (["q_id", "s"], ["q_id"]):
         j = j.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("cosine"), "v_id"))).where(F.col("rank") <= k)
     return j.select("q_id", "v_id", "cosine", "rank")

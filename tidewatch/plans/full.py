@@ -53,7 +53,7 @@ def f22_full_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["f22_full_pass"] = f22_full_pass
 
-_NUMBERS = {"amount_ratio": (7, 80, 10.0), "amount_zscore": (11, 60, 10.0), "cnt_1m": (3, 5, 1.0), "cnt_1h": (5, 12, 1.0), "near_threshold_cnt_24h": (13, 5, 1.0), "amount_try": (17, 300, 1.0), "login_to_transfer_s": (19, 90, 1.0), "purpose_risk": (23, 11, 10.0), "typing_deviation": (29, 7, 1.0), "device_customers_7d": (31, 5, 1.0), "payee_fan_in_24h": (37, 6, 1.0), "distinct_payees_24h": (41, 3, 1.0), "graph_pass_through": (43, 11, 10.0), "graph_fan_in_30m": (47, 4, 1.0), "payee_account_age_d": (53, 120, 1.0)}
+_NUMBERS = {"amount_ratio": (7, 80, 10.0), "amount_zscore": (11, 60, 10.0), "cnt_1m": (3, 5, 1.0), "cnt_1h": (5, 12, 1.0), "near_threshold_cnt_24h": (13, 5, 1.0), "amount_try": (17, 300, 1.0), "login_to_transfer_s": (19, 90, 1.0), "purpose_risk": (23, 11, 10.0), "typing_deviation": (29, 7, 1.0), "device_customers_7d": (31, 5, 1.0), "payee_fan_in_24h": (37, 6, 1.0), "distinct_payees_24h": (41, 3, 1.0), "graph_pass_through": (43, 11, 10.0), "cop_no_match": (59, 2, 1.0), "is_new_payee": (7, 11, 1.0), "graph_fan_in_30m": (47, 4, 1.0), "payee_account_age_d": (53, 120, 1.0)}
 _NAMES = sorted(_EVERY)
 
 

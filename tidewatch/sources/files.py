@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions.text import fold
+from ..operators.rules import Rule
+
 
 def _struct(spec: str) -> T.StructType:
     kinds = {"s": T.StringType(), "d": T.DoubleType(), "l": T.LongType(), "i": T.IntegerType(), "b": T.BooleanType(), "t": T.TimestampNTZType(), "as": T.ArrayType(T.StringType()), "ai": T.ArrayType(T.IntegerType())}
@@ -33,8 +36,77 @@ def back_test_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, y int, f map<string,double>").json(path)
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType = PAYSIM) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+def csv(spark: SparkSession, path: str, schema: T.StructType = PAYSIM, where: Column | None = None) -> DataFrame:
+    """A CSV file with a header; ``where`` is pushed to the reader, which drops other lines while it parses."""
+    rows = spark.read.schema(schema).csv(path, header=True)
+    return rows if where is None else rows.where(where)
+
+
+def ulb(spark: SparkSession, path: str) -> DataFrame:
+    """The public card set: V1 to V28, Amount, y, and ``row``, the line's place, which stands for the time.
+
+    The class is quoted in some copies. One file is one split here, so the place of a line is its order.
+    """
+    schema = _struct(" ".join(["Time:d", *(f"V{i}:d" for i in range(1, 29)), "Amount:d", "Class:s"]))
+    rows = spark.read.schema(schema).option("enforceSchema", False).csv(path, header=True)
+    return rows.withColumn("row", F.monotonically_increasing_id()).withColumn("y", F.regexp_replace("Class", "[^0-9]", "").cast("int")).drop("Class")
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """A small file's text, by a path that Spark can read."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def rule_file(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a YAML file (a few dozen, kept on the driver), checked for their form only."""
+    import yaml
+
+    rows = yaml.safe_load(_whole(spark, path)).get("rules") or []
+    return [Rule(r["id"], str(r["when"]), float(r["score"]), r.get("reason_template") or "", r.get("action_hint"), r.get("severity") or "medium", tuple(r.get("tags") or ())) for r in rows]
+
+
+def keyword_file(spark: SparkSession, path: str) -> dict[str, float]:
+    """Keywords of a YAML file with their weights; keys are folded, and of two that fold to one the heavier counts."""
+    import yaml
+
+    given = yaml.safe_load(_whole(spark, path)).get("keywords") or {}
+    folded: dict[str, float] = {}
+    rows = spark.createDataFrame([(str(k), float(v)) for k, v in given.items()], "k string, w double")
+    for r in rows.select(fold(F.col("k")).alias("k"), "w").collect():
+        folded[r["k"]] = max(folded.get(r["k"], 0.0), r["w"])
+    return folded
+
+
+IP_RANGES = "ranges array<struct<cidr:string,country:string,asn:int,org:string,vpn:boolean,tor:boolean>>"
+
+
+def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """cidr, country, vpn, tor of a JSON file."""
+    return spark.read.schema(IP_RANGES).option("multiLine", True).json(path).select(F.explode("ranges").alias("r")).select("r.cidr", "r.country", F.coalesce("r.vpn", F.lit(False)).alias("vpn"), F.coalesce("r.tor", F.lit(False)).alias("tor"))
+
+
+def sanctions(spark: SparkSession, path: str) -> DataFrame:
+    """rec_id, names (name and aliases), birth_year, country of a JSON list, ready to be screened against."""
+    r = json_array(spark, path, SANCTION)
+    year = F.coalesce("birth_year", F.substring("birth_date", 1, 4).cast("int"))
+    return r.select(F.col("id").alias("rec_id"), F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: n.isNotNull()).alias("names"), year.alias("birth_year"), F.coalesce("nationality", "country").alias("country"))
+
+
+def drifted(tx: DataFrame, drift: float, order: str = "us") -> DataFrame:
+    """Amounts that grow by ``drift`` from the first payment to the last, in order, as a simulated stream sends them."""
+    from ..storage import running_sums
+
+    placed = running_sums(tx, [F.col(order), F.col("tx_id")], {"_nth": F.lit(1)})
+    total = tx.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("_n"))
+    return placed.crossJoin(F.broadcast(total)).withColumn("amount", F.col("amount") * (1 + F.lit(drift) * (F.col("_nth") - 1) / F.col("_n"))).drop("_nth", "_n")
+
+
+def traffic(spark: SparkSession, rate: int, anomaly_rate: float = 0.05, customers: int = 100) -> DataFrame:
+    """An endless stream of made-up payments, of which a share is unusual: tx_id, ts, cust, amount, odd."""
+    s = spark.readStream.format("rate").option("rowsPerSecond", rate).load()
+    u = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), "value"), 11).cast("double") + 0.5) / F.lit(2.0**53)
+    odd = u(1) < anomaly_rate
+    return s.select(F.col("value").alias("tx_id"), F.col("timestamp").alias("ts"), F.floor(u(2) * customers).alias("cust"), F.round(F.when(odd, 20_000 + 80_000 * u(3)).otherwise(50 + 950 * u(3)), 2).alias("amount"), odd.alias("odd"))
 
 
 def sampled(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:

@@ -27,3 +27,18 @@ def back_test(df: DataFrame, names: list[str], path: str) -> None:
 def egress(df: DataFrame) -> DataFrame:
     """The few fields that leave the engine."""
     return df.select("tx_id", "us", "cust", "decision", "risk_score", F.array_join("overrides", ",").alias("overrides"), "case_required", "hold_minutes")
+
+
+def dataset(tables: dict[str, DataFrame], path: str) -> None:
+    """Named tables as Parquet below one folder, and a manifest with their rows and columns."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, spark.read.parquet(f"{path}/{name}").count(), df.columns) for name, df in tables.items()]
+    spark.createDataFrame(rows, "name string, rows long, columns array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def report(draft: DataFrame, path: str) -> None:
+    """Suspicious-activity drafts as JSON lines, with the digest that an approver signs."""
+    whole = F.to_json(F.struct(*sorted(draft.columns)))
+    draft.withColumn("digest", F.sha2(whole, 256)).write.mode("overwrite").json(path)

@@ -83,3 +83,29 @@ def write_once(target: str, key: list[str]) -> Callable[[DataFrame, int], None]:
         batch.write.mode("append").parquet(target)
 
     return write
+
+
+def write_idempotent(target: str, dead_letters: str, key: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a key's first payload (``digest``) is appended to the table, equal ones are dropped, others go to the dead letters.
+
+    A repeated batch appends nothing to the table; its conflicts are told by
+    (key, digest) and are not written twice either.
+    """
+
+    def there(spark: SparkSession, path: str) -> bool:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.dropDuplicates([key, "digest"])
+        known = spark.read.schema(batch.schema).parquet(target).select(key, F.col("digest").alias("_known")) if there(spark, target) else spark.createDataFrame([], batch.select(key, F.col("digest").alias("_known")).schema)
+        firsts = batch.groupBy(key).agg(F.min("digest").alias("_first"))
+        j = batch.join(known, key, "left").join(firsts, key).withColumn("_first", F.coalesce("_known", "_first"))
+        conflicts = j.where("digest <> _first").select(*batch.columns)
+        if there(spark, dead_letters):
+            conflicts = conflicts.join(spark.read.schema(batch.schema).parquet(dead_letters).select(key, "digest"), [key, "digest"], "left_anti")
+        conflicts.write.mode("append").parquet(dead_letters)
+        j.where("_known is null and digest = _first").select(*batch.columns).write.mode("append").parquet(target)
+
+    return write
