@@ -517,7 +517,7 @@ def test_inclusion_follows_the_weights(spark):
 def test_ratios_say_nothing_of_usual_and_of_unknown_features():
     target = np.array([0, 1000, 100, 0, 0])
     raw = np.array([0, 1250, 125, 400, 2])
-    got = quality.log_ratios(target, raw)
+    got = quality.log_ratios(target, raw, 0.8)
     assert got[0] == 0 and abs(got[1]) < 0.05 and abs(got[2]) < 0.05 and got[3] < -3 and -0.5 < got[4] < 0
     assert quality.best_cut(np.array([-9.0, -8.0, 0.0, 1.0]), np.array([0, 0, 1, 1])) == -4.0
     assert quality.best_cut(np.array([]), np.array([])) == -np.inf
