@@ -4,11 +4,11 @@ Seeds are minimizers, the word k-mers of least hash in every window of WINDOW
 successive ones, so that equal stretches of k + WINDOW - 1 words share one. A
 seed's first document leads: every other occurrence of the seed is matched with
 all of the leader's. A passage whose seeds are led by several documents, none
-of which holds it whole, is told by links, two seeds at most FAR words apart,
-of which a chain of MIN_SPAN words holds one: the documents of a link that lies
-in no passage told so far are matched with the link's own first document, on
-all the seeds they share. Every table grows with seeds and links, none with
-the square of the documents that share one. Matches of one document with one
+of which holds it whole, is told by links, two seeds MIN_SPAN to NEAR words
+apart and how far: the documents of a link that lies in no passage told so far
+are matched with the link's own first document, on all the seeds they share.
+Every table grows with seeds and links, none with the square of the documents
+that share one. Matches of one document with one
 leader are merged into anchors where they continue one another, and chained:
 among anchors that follow in both documents with no gap over MAX_GAP, a
 segment tree over the leader's positions yields the best predecessor, a gap
@@ -42,9 +42,8 @@ MIN_SPAN = 20
 DROP = 6
 #: Longest gap between anchors that is aligned in full, in words; longer ones end a chain.
 MAX_GAP = 60
-#: Most words from the first seed of a chain to the seed that makes it MIN_SPAN long: in its own document, and in
-#: the other, where each of the anchors in so short a span may be followed by a gap.
-NEAR, FAR = MIN_SPAN + MAX_GAP, MIN_SPAN + MAX_GAP * ((MIN_SPAN - 1) // K)
+#: Most words between the seeds of a link.
+NEAR = MIN_SPAN + MAX_GAP
 
 
 def minimizers(hashes: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +65,9 @@ def minimizers(hashes: np.ndarray, at: np.ndarray, k: int = K, window: int = WIN
     for i in np.flatnonzero((sizes > 0) & (sizes < window)):
         picked[at[i] + mers[at[i] : at[i] + sizes[i]].argmin()] = True
     where = np.flatnonzero(picked & ~crosses)
+    # of a run of one seed the first, as the alignment runs along the rest: else a word said n times matches n x n places
+    again = (mers[where][1:] == mers[where][:-1]) & (of[where][1:] == of[where][:-1])
+    where = where[np.concatenate((np.ones(min(1, len(where)), bool), ~again))]
     return mers[where], of[where], where - at[of[where]]
 
 
@@ -143,16 +145,19 @@ def _edit_matches(a: np.ndarray, b: np.ndarray) -> int:
         return 0
     if len(a) == len(b) and len(a) <= 2:
         return int((a == b).sum())
-    cost, match = np.arange(len(b) + 1), np.zeros(len(b) + 1, np.int64)
+    place = np.arange(len(b) + 1)
+    cost, match = place, np.zeros(len(b) + 1, np.int64)
     for i in range(len(a)):
         new_cost, new_match = cost + 1, match.copy()
         same = (b == a[i]).astype(np.int64)
         diagonal, diagonal_match = cost[:-1] + 1 - same, match[:-1] + same
         better = (diagonal < new_cost[1:]) | ((diagonal == new_cost[1:]) & (diagonal_match > new_match[1:]))
         new_cost[1:], new_match[1:] = np.where(better, diagonal, new_cost[1:]), np.where(better, diagonal_match, new_match[1:])
-        for j in range(1, len(b) + 1):  # insertions run along the row
-            if new_cost[j - 1] + 1 < new_cost[j]:
-                new_cost[j], new_match[j] = new_cost[j - 1] + 1, new_match[j - 1]
+        # insertions run along the row: each place is reached from the nearest before it that is cheapest
+        level = new_cost - place
+        least = np.minimum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == least, place, 0))
+        new_cost, new_match = least + place, new_match[source]
         cost, match = new_cost, new_match
     return int(match[-1])
 
@@ -199,23 +204,24 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, its shared seeds, its passages) to links, and whether one that makes a chain lies in no passage."""
+    """Rows (doc, its shared seeds, its passages) to links, and whether one lies in no passage."""
     for batch in batches:
         for doc, found, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             at, seed = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             order = np.argsort(at, kind="stable")
             at, seed = at[order].astype(np.int64), seed[order].view(np.uint64)
-            lo, hi = np.searchsorted(at, at + K), np.searchsorted(at, at + FAR, side="right")
+            lo, hi = np.searchsorted(at, at + MIN_SPAN - K), np.searchsorted(at, at + NEAR, side="right")
             for a in range(0, len(at), 1 << 10):  # in blocks, to bound the memory
                 n = hi[a : a + (1 << 10)] - lo[a : a + (1 << 10)]
                 i = np.repeat(np.arange(a, a + len(n)), n)
                 if not len(i):
                     continue
                 k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
-                open_ = (at[k] - at[i] >= MIN_SPAN - K) & (at[k] - at[i] <= NEAR)
+                open_ = np.ones(len(i), bool)
                 for r in told or ():
                     open_ &= (at[i] < r["start"]) | (at[k] + K > r["end"])
-                keys, of = np.unique(text.mix(seed[i] * np.uint64(text.BASE) + seed[k]), return_inverse=True)
+                keys = text.mix(text.mix(seed[i] * np.uint64(text.BASE) + seed[k]) + (at[k] - at[i]).astype(np.uint64))
+                keys, of = np.unique(keys, return_inverse=True)
                 some = np.zeros(len(keys), bool)
                 some[of[open_]] = True
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc, np.int64)), pa.array(some)], ["link", "doc", "open"])
