@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     neighbours are gathered; only the edge table, which never grows, is shuffled.
     """
     flat = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, mark = materialise(flat, "edges"), None
+    edges = materialise(flat, "edges")
+    mark = _mark(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,8 +27,13 @@ def components(links: DataFrame) -> DataFrame:
         fresh = materialise(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         discard(edges)
         edges = fresh
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        now = _mark(edges)
         if now == mark:
             break
         mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and hash of the edges: when it stays, nothing has moved."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
