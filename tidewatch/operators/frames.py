@@ -18,21 +18,6 @@ MINUTE, HOUR, DAY = 60 * SECOND, 3600 * SECOND, 86_400 * SECOND
 WEEK = 7 * DAY
 
 
-def within(keys: list[str], width: int, us: str = "us") -> WindowSpec:
-    """Open on the left, and with all ties of the current row."""
-    return W.partitionBy(*keys).orderBy(us).rangeBetween(-(width - 1), 0)
-
-
-def closed(keys: list[str], width: int, us: str = "us") -> WindowSpec:
-    """[now - width, now], with all ties of the current row."""
-    return W.partitionBy(*keys).orderBy(us).rangeBetween(-width, 0)
-
-
-def from_here(keys: list[str], us: str = "us", tx: str = "tx_id") -> WindowSpec:
-    """The current row and its later ties."""
-    return W.partitionBy(*keys, us).orderBy(tx).rowsBetween(0, W.unboundedFollowing)
-
-
 def ordered(keys: list[str], us: str = "us", tx: str = "tx_id") -> WindowSpec:
     return W.partitionBy(*keys).orderBy(us, tx)
 

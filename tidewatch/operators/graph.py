@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.scores import noisy_or
 from ..storage import discard, materialise
@@ -101,12 +100,16 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     n = nodes.count()
     share = materialise(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
     ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"), F.col("total").isNull().alias("dangling"))
+    ranks_kept = None
     for i in range(rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         sent = ranks.join(share, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         ranks = ranks.join(sent, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "dangling")
         if i % 4 == 3:
-            ranks = materialise(ranks, "pagerank")
+            ranks, stale = materialise(ranks, "pagerank"), ranks_kept
+            ranks_kept = ranks
+            if stale is not None:
+                discard(stale)
     return ranks.select("node", "rank")
 
 
@@ -129,22 +132,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """node, community of a weighted undirected graph (a, b, w): label propagation, ties to the smaller label.
-
-    Even and odd rounds move different halves of the nodes, so that pairs do not swap for ever.
-    """
-    both = materialise(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "community-edges")
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for i in range(rounds):
-        votes = both.join(labels, F.col("b") == F.col("node")).groupBy("a", "community").agg(F.sum("w").alias("w"))
-        # the best label: most weight, then the smaller
-        best = votes.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("w", 9)), "community"))).where("_r = 1").select("a", F.col("community").alias("best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        labels = materialise(labels.join(best, F.col("node") == F.col("a"), "left").select("node", F.when(moves, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")), "communities")
-    return labels
-
-
 def ring_statistics(tx: DataFrame, owners: DataFrame, labels: DataFrame, flagged: DataFrame, least: int = 3) -> DataFrame:
     """Communities with enough customers that hold a flagged one or move money among themselves: members, internal transfers and total."""
     c = labels.select(F.regexp_replace("node", "^C:", "").alias("cust"), "community").where("node like 'C:%'")

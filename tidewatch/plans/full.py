@@ -69,16 +69,14 @@ _ORDER = sorted(_RULES, key=lambda rc: -rc[0].score)
 
 def f11_all_core_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 31 core rules over features made from the key, so that each of them fires somewhere."""
-    return rl.evaluate(made_up(event_tx(spark, sf_dir)), rl.core_rules()).select("tx_id", F.array_join(F.transform("rule_hits", lambda h: h["id"]), ",").alias("hits"), "rule_score", F.coalesce("rule_hint", F.lit("")).alias("rule_hint"))
+    return rl.evaluate(made_up(event_tx(spark, sf_dir)), rl.core_rules()).select("tx_id", F.array_join(F.transform("rule_hits", lambda h: h["id"]), ",").alias("hits"), F.coalesce("rule_hint", F.lit("")).alias("rule_hint"))
 
 
 QUERIES["f11_all_core_rules"] = f11_all_core_rules
 ORACLES["f11_all_core_rules"] = (
     f"WITH {EVENT_TX}, {_MADE} SELECT tx_id, concat_ws(',', "
     + ", ".join(f"CASE WHEN {c} THEN '{r.id}' END" for r, c in _ORDER)
-    + ") AS hits, round(1 - "
-    + " * ".join(f"(CASE WHEN {c} THEN {1 - r.score!r} ELSE 1.0 END)::DOUBLE" for r, c in _ORDER)
-    + ", 6) AS rule_score, CASE "
+    + ") AS hits, CASE "
     + " ".join(f"WHEN {c} THEN '{r.action_hint}'" for a in ("BLOCK", "HOLD", "STEP_UP") for r, c in _RULES if r.action_hint == a)
     + " ELSE '' END AS rule_hint FROM x"
 )

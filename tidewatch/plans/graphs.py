@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as fr
 from ..operators import graph as gr
+from ..operators import signals as sg
 from .tables import EVENT_TX, ORDER_TX, event_tx, order_tx, table
 
 QUERIES: dict = {}
@@ -115,7 +116,8 @@ def g12_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g13_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.communities(g12_projection(spark, sf_dir))
+    """By modularity, of the undirected projection."""
+    return sg.modularity_communities(g12_projection(spark, sf_dir))
 
 
 @query()

@@ -210,14 +210,6 @@ def n16_challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.challenges(e, fr.DAY // 2)
 
 
-@query()
-def g13_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities by modularity, of the undirected projection."""
-    from .graphs import g12_projection
-
-    return sg.modularity_communities(g12_projection(spark, sf_dir))
-
-
 @query()
 def g22_step_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graphs import _steps
