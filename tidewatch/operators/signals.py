@@ -226,14 +226,18 @@ def step_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFram
     return j.select("node", "step", "in_degree", "out_degree", F.coalesce("component_size", F.lit(1)).alias("component_size"), "scaled_rank")
 
 
+#: Modularity that a round of moves, and a level, must gain for another to follow.
+LEAST_GAIN = 1e-4
+
+
 def modularity_communities(edges: DataFrame) -> DataFrame:
     """node, community of a weighted undirected graph (a, b, w) by Louvain's method.
 
     Nodes move to the neighbouring community of largest modularity gain, ties
     to the smaller name, halves of the nodes in turn so that pairs do not swap
-    for ever; moves end when modularity no longer grows. Communities then become
-    nodes, and the same begins again, until none joins another. There is no
-    limit of rounds: modularity grows in each and is below 1.
+    for ever; moves end when modularity grows by less than LEAST_GAIN. Communities
+    then become nodes, and the same begins again, until a level gains less than
+    that. There is no limit of rounds: modularity grows in each and is below 1.
     """
     e = edges.select("a", "b", F.col("w").cast("double").alias("w"))
     level = gr.materialise(e.union(e.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "louvain-edges")
@@ -260,10 +264,10 @@ def modularity_communities(edges: DataFrame) -> DataFrame:
             better = (F.col("best") > F.coalesce("here", "alone")) & (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2)
             labels = gr.materialise(labels.join(pick, labels["node"] == pick["a"], "left").select("node", F.when(better, F.col("new")).otherwise(F.col("community")).alias("community"), "k"), "louvain-labels")
             now, turn = _modularity(level, labels, twice), turn + 1
-            idle = 0 if now > best + 1e-7 else idle + 1
+            idle = 0 if now > best + LEAST_GAIN else idle + 1
             if now > best:
                 kept, best = labels, now
-        if best <= start + 1e-7:
+        if best <= start + LEAST_GAIN:
             return member
         short = kept.select(F.col("node").alias("community"), F.col("community").alias("_c"))
         member = gr.materialise(member.join(short, "community").select("node", F.col("_c").alias("community")), "louvain")
