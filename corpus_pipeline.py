@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import decontam, linededup, minhash, packing, quality
 from tidewatch.llm.queries import word_tokenizer
-from tidewatch.llm.store import materialise, table
+from tidewatch.llm.store import discard, materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
