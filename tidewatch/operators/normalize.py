@@ -20,6 +20,31 @@ def problems(tx: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return tx.withColumn("problems", F.filter(F.array(*(F.when(c, F.lit(t)) for t, c in checks.items())), lambda x: x.isNotNull()))
 
 
+# What a request must keep to.
+MAX_AMOUNT, MAX_ID, MAX_PURPOSE = 1e8, 64, 160
+
+
+def cleaned_text(x: Column) -> Column:
+    """A text without control characters and outer blanks."""
+    return F.trim(F.regexp_replace(x, "\\p{Cntrl}", ""))
+
+
+def request_checks() -> dict[str, Column]:
+    """Checks of a payment request by the field that fails; missing fields fail, but for an empty country and purpose."""
+    def sized(c: str, low: int, high: int) -> Column:
+        return F.coalesce(F.length(cleaned_text(F.col(c))).between(low, high), F.lit(low == 0))
+
+    amount = F.col("amount")
+    return {
+        "transaction_id": ~sized("transaction_id", 1, MAX_ID),
+        "customer_id": ~sized("customer_id", 1, MAX_ID),
+        "amount": ~F.coalesce((amount > 0) & (amount <= MAX_AMOUNT), F.lit(False)),
+        "currency": ~F.coalesce(F.upper("currency").rlike("^[A-Z]{2,3}$"), F.lit(False)),
+        "country": ~F.coalesce(F.upper("country").rlike("^([A-Z]{2})?$"), F.lit(True)),
+        "purpose": ~sized("purpose", 0, MAX_PURPOSE),
+    }
+
+
 def split_valid(tx: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, and rows to set aside with their problems."""
     all_rows = problems(tx, checks)

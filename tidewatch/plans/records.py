@@ -398,3 +398,16 @@ def n15_live_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b12_live_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the live view's ring of 2,000 events holds."""
     return rc.newest(decisions(spark, sf_dir), "us", "tx_id", 2000).groupBy(F.col("decision").alias("id")).agg(F.count("*").alias("n"))
+
+
+_REQUEST = "rq AS (SELECT o_orderkey AS tx_id, repeat('x', (o_orderkey % 70)::INT) AS transaction_id, o_totalprice * CASE WHEN o_orderkey % 10 = 0 THEN -1 WHEN o_orderkey % 11 = 0 THEN 1000000 ELSE 1 END AS amount, CASE o_orderkey % 4 WHEN 0 THEN 'try' WHEN 1 THEN 'EURO' WHEN 2 THEN 'US' ELSE 'T1' END AS currency, CASE o_orderkey % 3 WHEN 0 THEN 'tr' WHEN 1 THEN '' ELSE 'TUR' END AS country, repeat('a', (o_orderkey % 200)::INT) AS purpose FROM orders)"
+
+
+@query(f"""WITH {_REQUEST} SELECT tx_id, concat_ws(',', CASE WHEN length(transaction_id) NOT BETWEEN 1 AND 64 THEN 'transaction_id' END, CASE WHEN NOT (amount > 0 AND amount <= 1e8) THEN 'amount' END,
+  CASE WHEN NOT regexp_full_match(upper(currency), '[A-Z]{{2,3}}') THEN 'currency' END, CASE WHEN NOT regexp_full_match(upper(country), '([A-Z]{{2}})?') THEN 'country' END, CASE WHEN length(purpose) > 160 THEN 'purpose' END) AS problems FROM rq""")
+def c03_request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import normalize as nz
+
+    k = F.col("o_orderkey")
+    t = table(spark, sf_dir, "orders").select(k.alias("tx_id"), F.repeat(F.lit("x"), (k % 70).cast("int")).alias("transaction_id"), F.col("o_custkey").cast("string").alias("customer_id"), (F.col("o_totalprice") * F.when(k % 10 == 0, -1).when(k % 11 == 0, 1_000_000).otherwise(1)).alias("amount"), F.when(k % 4 == 0, "try").when(k % 4 == 1, "EURO").when(k % 4 == 2, "US").otherwise("T1").alias("currency"), F.when(k % 3 == 0, "tr").when(k % 3 == 1, "").otherwise("TUR").alias("country"), F.repeat(F.lit("a"), (k % 200).cast("int")).alias("purpose"))
+    return nz.problems(t, nz.request_checks()).select("tx_id", F.array_join("problems", ",").alias("problems"))
