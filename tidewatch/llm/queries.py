@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontam, langid, linededup, minhash, packing, quality
+from . import chaining, decontam, filteraudit, langid, linededup, minhash, mining, packing, quality, secretscan
 from .chat import CHAT_SQL, chat_report
 from .sharding import shard_report
 from .store import table
@@ -62,6 +62,20 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every seventh label is wrong: that is the noise which mining must stand
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
@@ -89,5 +103,8 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op5_decontamination": decontam.LEAKS_SQL, "op7_line_dedup": linededup.LINES_SQL, "op10_exact_top_k": TOP_K_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": CHAT_SQL, "op5_decontamination": decontam.LEAKS_SQL, "op7_line_dedup": linededup.LINES_SQL, "op10_exact_top_k": TOP_K_SQL, "op11_hard_negatives": mining.NEGATIVES_SQL, "op13_filter_audit": filteraudit.AUDIT_SQL}

@@ -94,12 +94,21 @@ class Scratch:
         self.frames.append(materialise(df, name))
         return self.frames[-1]
 
+    def clear(self) -> None:
+        discard(*self.frames)
+        self.frames = []
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table of its own; all tables kept so far are deleted."""
+        out = materialise(df, name)
+        self.clear()
+        return out
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *error: object) -> None:
-        discard(*self.frames)
-        self.frames = []
+        self.clear()
 
 
 Batches = Iterator[pa.RecordBatch]
