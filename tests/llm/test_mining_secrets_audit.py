@@ -213,12 +213,9 @@ def test_filter_audit_of_an_empty_table_and_a_long_text(spark):
     assert audited(spark, docs, []) == plain_audit(docs, [])
 
 
-def test_scratch_tables_of_the_audit_are_deleted(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = filteraudit.filter_audit(spark.createDataFrame([(1, "a", "en", "s", 1)], DOC), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-        assert out.count() == 600 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["interactions"]
-        store.discard(out)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_tables_of_the_audit_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = filteraudit.filter_audit(spark.createDataFrame([(1, "a", "en", "s", 1)], DOC), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.count() == 600 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["interactions"]
+    store.discard(out)
+    assert not list(tmp_path.iterdir())
