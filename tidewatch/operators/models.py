@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 from ..functions.scores import logit, sigmoid
 
 
-def boosted_trees(rows: DataFrame, columns: list[str], label: str = "y", *, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """Fit a boosted-tree model; returns a function that adds ``p``."""
+def boosted_model(rows: DataFrame, columns: list[str], label: str = "y", *, rounds: int = 20, depth: int = 4, seed: int = 42):
+    """A fitted boosted-tree model over the packed ``columns``."""
     pack = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep")
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(pack.transform(rows.withColumn(label, F.col(label).cast("double"))))
+    return GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(pack.transform(rows.withColumn(label, F.col(label).cast("double"))))
+
+
+def boosted_scores(model, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``p``, the probability of the positive class."""
+    pack = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep")
+    return model.transform(pack.transform(df)).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
-    def score(df: DataFrame) -> DataFrame:
-        return model.transform(pack.transform(df)).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
-    return score, dict(zip(columns, model.featureImportances.toArray().tolist(), strict=True))
+def boosted_trees(rows: DataFrame, columns: list[str], label: str = "y", *, rounds: int = 20, depth: int = 4, seed: int = 42):
+    """Fit a boosted-tree model; returns a function that adds ``p``, and the features' importances."""
+    model = boosted_model(rows, columns, label, rounds=rounds, depth=depth, seed=seed)
+    return (lambda df: boosted_scores(model, df, columns)), dict(zip(columns, model.featureImportances.toArray().tolist(), strict=True))
 
 
 def stacker(rows: DataFrame, inputs: list[str], label: str = "y", l2: float = 1e-3) -> tuple[dict[str, float], float]:

@@ -77,18 +77,21 @@ def full_pass(tx: DataFrame, s: Surroundings, rules: Sequence[rl.Rule] | None =
 
     tx: tx_id, us, cust, amount, channel, device, payee, payee_name,
     payee_opened, location, country, ip, purpose, session, trusted, avg_amount,
-    typing; and, if there are any, ml_score and anomaly_score,
+    typing; and, if there are any, ml_score, anomaly_score and online_score,
     account_blocked, unknown_customer and sanctions_hit.
     """
     x = rl.evaluate(observed(tx, s), list(rules or rl.core_rules()))
     have = set(tx.columns)
-    extra = [c for c in ("ml_score", "anomaly_score", "account_blocked", "unknown_customer", "sanctions_hit") if c in have]
+    extra = [c for c in ("ml_score", "anomaly_score", "online_score", "account_blocked", "unknown_customer", "sanctions_hit") if c in have]
     x = x.join(tx.select("tx_id", *extra), "tx_id") if extra else x
     for gate in ("account_blocked", "unknown_customer", "sanctions_hit"):
         if gate not in have:
             x = x.withColumn(gate, F.lit(False))
     col = lambda c: F.col(c) if c in have else None
     x = x.withColumn("stacked", stacked(F.col("rule_score"), col("ml_score"), col("anomaly_score")))
-    x = x.withColumn("combined", rl.combine(F.col("stacked"), {"graph": F.col("graph_score"), "burst": F.col("burst"), "app": F.col("app_score"), "consortium": F.col("consortium_score")}, policy))
+    signals = {"graph": F.col("graph_score"), "burst": F.col("burst"), "app": F.col("app_score"), "consortium": F.col("consortium_score")}
+    if "online_score" in have:
+        signals["online"] = F.coalesce("online_score", F.lit(0.0))
+    x = x.withColumn("combined", rl.combine(F.col("stacked"), signals, policy))
     x = x.withColumn("cap", rl.typology_cap(F.col("rule_hits"), F.col("app_score"), F.col("graph_pass_through"), F.col("graph_cycle"), F.col("near_threshold_cnt_24h") - 2))
     return rl.decide(x, policy)
