@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import features as ft
+from ..operators import frames as fr
+from ..operators import known as kn
 from ..operators import models as md
 from ..operators import online as on
 from ..operators import profile as pf
+from ..operators import protocols as pr
 from ..operators import rules as rl
 from ..operators import scoring as sc
 from ..operators import signals as sg
 from ..operators import trees as tr
 from ..storage import materialise
+from ..streaming import stateful as sf
+from ..streaming import streams as st
+from .features import ORACLES as FEATURE_SQL
+from .features import f22_decisions
 from .full import payments, surroundings
+from .tables import EVENT_TX, event_tx
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+DECISIONS_SQL = FEATURE_SQL["f22_decisions"]
 
 #: What the model sees: nothing of the channel, which is the label.
 COLUMNS = {
@@ -101,3 +110,106 @@ def f22_learned_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     reasons = rl.top_reasons(hits.unionByName(learned).unionByName(policy).unionByName(on.online_reasons(seen, 0.5)))
     shown = reasons.groupBy("tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda r: r["code"]), ",").alias("reasons"))
     return out.join(shown, "tx_id", "left").select("tx_id", "decision", F.round("risk_score", 4).alias("risk_score"), F.round("ml_score", 6).alias("ml_score"), F.round("anomaly_score", 4).alias("anomaly_score"), F.round("online_score", 4).alias("online_score"), F.coalesce("reasons", F.lit("")).alias("reasons"), "case_required")
+
+
+#: The model's features by part, for protocols that compare sets of them.
+_SETS = {"amount": [c for c, g in COLUMNS.items() if g == "amount"], "velocity": [c for c, g in COLUMNS.items() if g == "velocity"], "all": list(COLUMNS)}
+
+
+@query
+def j35_temporal_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of features over days: fitted on the first twenty, thresholds from expanding windows inside them, told on the rest."""
+    x = rows(spark, sf_dir)
+    start = x.agg(F.min("us")).first()[0] or 0
+    x = x.withColumn("step", F.expr(f"(us - {start}) div {fr.DAY} + 1").cast("int"))
+    return pr.temporal_protocol(x, _SETS, "step", 20, [(9, 12), (13, 16), (17, 20)], pr.boosted(rounds=5, depth=3), order=["us", "tx_id"])
+
+
+@query
+def q20_expanding_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = rows(spark, sf_dir)
+    start = x.agg(F.min("us")).first()[0] or 0
+    x = x.withColumn("step", F.expr(f"(us - {start}) div {fr.DAY} + 1").cast("int"))
+    return pr.expanding_predictions(x, list(COLUMNS), "step", [(9, 16), (17, 24), (25, 31)], pr.boosted(rounds=5, depth=3)).select("tx_id", "step", "fitted_to", F.round("p", 6).alias("p"))
+
+
+@query
+def j33_feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model refitted without each group of features."""
+    split = ev.row_split(rows(spark, sf_dir), ["us", "tx_id"])
+    groups = {g: [c for c, k in COLUMNS.items() if k == g] for g in dict.fromkeys(COLUMNS.values())}
+    return pr.feature_ablation(split.where("part = 'train'"), split.where("part = 'test'"), list(COLUMNS), groups, pr.boosted(rounds=5, depth=3))
+
+
+def _feedback(decisions: DataFrame) -> DataFrame:
+    """Of decisions other than ALLOW two in three hear of their outcome, up to ten days later: a failed event was fraud."""
+    k = F.col("tx_id")
+    return decisions.where("decision <> 'ALLOW' and tx_id % 3 > 0").select("tx_id", (F.col("us") + k % 11 * fr.DAY + 1).alias("us"), "cust", F.when(F.col("channel") == "error", "fraud").otherwise("trusted").alias("label"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = f22_decisions(spark, sf_dir).select("tx_id", "decision")
+    return materialise(event_tx(spark, sf_dir).join(d, "tx_id").select("tx_id", "us", "cust", "amount", "channel", "device", F.lit(None).cast("double").alias("typing"), "decision"), "decided")
+
+
+_OUTCOMES = f"""SELECT t.tx_id, 'event' AS kind, CASE WHEN d.decision = 'ALLOW' THEN 'learned' ELSE 'pending' END AS outcome FROM t JOIN d USING (tx_id)
+UNION ALL SELECT t.tx_id, 'feedback', CASE WHEN t.tx_id % 11 * {fr.DAY} + 1 > {sf.PENDING_US} THEN 'refused' WHEN channel = 'error' THEN 'forgotten' ELSE 'taught' END FROM t JOIN d USING (tx_id) WHERE d.decision <> 'ALLOW' AND t.tx_id % 3 > 0"""
+
+
+@query
+def h06_late_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles that learn allowed events at once and others when feedback confirms them."""
+    d = _decided(spark, sf_dir)
+    out = sf.late_learning(d, _feedback(d))
+    return out.select("tx_id", "kind", "outcome", F.round("amount_ratio", 6).alias("amount_ratio"), F.round("amount_zscore", 6).alias("amount_zscore"), "is_new_device", "n")
+
+
+@query
+def h07_pending_feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event and each feedback came to, kept as keyed state of a stream."""
+    d = _decided(spark, sf_dir)
+    f = materialise(_feedback(d), "feedback")
+
+    def stream(df: DataFrame) -> DataFrame:
+        folder = df.inputFiles()[0].rsplit("/", 1)[0]
+        return spark.readStream.schema(df.schema).parquet(folder).withColumn("ts", F.timestamp_micros("us"))
+
+    if d.isEmpty() or f.isEmpty():
+        return sf.late_learning(d, f).select("tx_id", "kind", "outcome")
+    return sf.drained(lambda: sf.late_learning_stream(stream(d), stream(f)), spark).select("tx_id", "kind", "outcome")
+
+
+ORACLES["h07_pending_feedback_stream"] = f"WITH {EVENT_TX}, d AS (SELECT tx_id, decision FROM ({DECISIONS_SQL})) {_OUTCOMES}"
+
+
+@query
+def j02_sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity and payee features of the events that the watermark has passed, from a stream."""
+    t = st.event_stream(spark, sf_dir).select("ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("tx_id"), F.col("user_id").alias("cust"), F.col("value").alias("amount"), F.get_json_object("props", "$.k").alias("payee"))
+    out = sf.drained(lambda: sf.sliding_features_stream(t), spark)
+    return out.select("tx_id", *(f"cnt_{w}" for w in sf.WIDTHS), *(F.round(f"sum_{w}", 4).alias(f"sum_{w}") for w in sf.WIDTHS), "distinct_payees_24h", "distinct_payees_7d", "time_since_last_s")
+
+
+_PAST = "p.cust = t.cust AND (p.us < t.us OR (p.us = t.us AND p.tx_id < t.tx_id))"
+ORACLES["j02_sliding_stream"] = (
+    f"WITH {EVENT_TX} SELECT t.tx_id, "
+    + ", ".join(f"count(p.tx_id) FILTER (WHERE p.us > t.us - {w})::DOUBLE AS cnt_{n}, round(coalesce(sum(p.amount) FILTER (WHERE p.us > t.us - {w}), 0), 4) AS sum_{n}" for n, w in sf.WIDTHS.items())
+    + ", "
+    + ", ".join(f"count(DISTINCT p.payee) FILTER (WHERE p.us > t.us - {w} AND p.payee <> '')::DOUBLE AS distinct_payees_{n}" for n, w in (("24h", fr.DAY), ("7d", fr.WEEK)))
+    + f", coalesce((t.us - max(p.us)) / 1e6, 604800.0) AS time_since_last_s FROM t LEFT JOIN t p ON {_PAST} AND p.us > t.us - {fr.WEEK}"
+    + f" WHERE t.us <= (SELECT max(us) FROM t) // 1000 * 1000 - {fr.HOUR} GROUP BY t.tx_id, t.us"
+)
+
+
+@query
+def h17_known_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the second half arrive, some for the second time and some of those changed; a filter for each day goes before the exact check."""
+    t = event_tx(spark, sf_dir).select("tx_id", "us", "amount")
+    digest = lambda amount: F.sha2(F.concat_ws("|", F.col("tx_id").cast("string"), amount.cast("decimal(18,2)").cast("string")), 256).alias("digest")
+    known = materialise(t.where("tx_id % 10 < 7").select("tx_id", "us", digest(F.col("amount"))), "known")
+    filters = materialise(kn.bloom_filters(known, "tx_id", F.expr(f"us div {fr.WEEK}")), "known-filters")
+    arrivals = t.where("tx_id % 10 > 4").select("tx_id", digest(F.col("amount") + F.when(F.col("tx_id") % 17 == 0, 1).otherwise(0)))
+    return kn.fates(arrivals, known, filters).select("tx_id", "fate")
+
+
+ORACLES["h17_known_arrivals"] = f"WITH {EVENT_TX} SELECT tx_id, CASE WHEN tx_id % 10 >= 7 THEN 'new' WHEN tx_id % 17 = 0 THEN 'conflict' ELSE 'duplicate' END AS fate FROM t WHERE tx_id % 10 > 4"
