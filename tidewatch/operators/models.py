@@ -70,8 +70,8 @@ def _path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def isolation_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES, sample: int = SAMPLE, seed: int = 42):
-    """Grow a forest on a bounded sample (trees x sample rows, those that hash lowest); returns a function that adds ``anomaly``."""
+def grown_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> dict:
+    """A forest grown on a bounded sample (trees x sample rows, those that hash lowest), as plain lists: trees, and the scale of depths."""
     h = F.xxhash64(F.lit(seed), *columns)
     x = rows.select(*(F.col(c).cast("double") for c in columns)).orderBy(h).limit(trees * sample).toPandas().to_numpy()
     rng = np.random.default_rng(seed)
@@ -82,33 +82,41 @@ def isolation_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES,
         if depth >= limit or len(part) <= 1 or not spread.any():
             return depth + _path(len(part))
         f = int(rng.choice(np.flatnonzero(spread)))
-        cut = rng.uniform(part[:, f].min(), part[:, f].max())
+        cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
         left = part[:, f] < cut
-        return f, cut, grow(part[left], depth + 1), grow(part[~left], depth + 1)
+        return [f, cut, grow(part[left], depth + 1), grow(part[~left], depth + 1)]
 
     forest = [grow(x[rng.permutation(len(x))[:sample]], 0) for _ in range(trees)] if len(x) else []
-    scale = _path(min(sample, max(len(x), 2))) or 1.0
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    return {"trees": forest, "scale": _path(min(sample, max(len(x), 2))) or 1.0}
+
+
+def forest_scores(df: DataFrame, forest: dict, columns: list[str]) -> DataFrame:
+    """Adds ``anomaly``, in (0, 1): high where few cuts set a row apart."""
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def depths(node, part: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-        if not isinstance(node, tuple):
+        if not isinstance(node, list):
             out[at] += node
             return
         left = part[at, node[0]] < node[1]
         depths(node[2], part, at[left], out)
         depths(node[3], part, at[~left], out)
 
-    def score(df: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                part, out = pdf[columns].to_numpy(np.float64), np.zeros(len(pdf))
-                for tree in shared.value:
-                    depths(tree, part, np.arange(len(pdf)), out)
-                yield pdf.assign(anomaly=2.0 ** (-out / max(len(shared.value), 1) / scale))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, scale = shared.value["trees"], shared.value["scale"]
+        for pdf in batches:
+            part, out = pdf[columns].to_numpy(np.float64), np.zeros(len(pdf))
+            for tree in trees:
+                depths(tree, part, np.arange(len(pdf)), out)
+            yield pdf.assign(anomaly=2.0 ** (-out / max(len(trees), 1) / scale))
 
-        return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", anomaly double")
+    return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", anomaly double")
 
-    return score
+
+def isolation_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES, sample: int = SAMPLE, seed: int = 42):
+    """Grow a forest; returns a function that adds ``anomaly``."""
+    forest = grown_forest(rows, columns, trees=trees, sample=sample, seed=seed)
+    return lambda df: forest_scores(df, forest, columns)
 
 
 def leave_one_out(score, rows: DataFrame, columns: list[str], neutral: dict[str, float], key: str = "tx_id") -> DataFrame:
