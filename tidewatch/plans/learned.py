@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,21 +12,25 @@ from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import frames as fr
 from ..operators import known as kn
+from ..operators import livegraph as lg
 from ..operators import models as md
 from ..operators import online as on
 from ..operators import profile as pf
 from ..operators import protocols as pr
+from ..operators import registry as rg
 from ..operators import rules as rl
 from ..operators import scoring as sc
 from ..operators import signals as sg
+from ..operators import sketch as sk
 from ..operators import trees as tr
-from ..storage import materialise
+from ..storage import materialise, shared_dir
+from ..streaming import monitor as mo
 from ..streaming import stateful as sf
 from ..streaming import streams as st
 from .features import ORACLES as FEATURE_SQL
 from .features import f22_decisions
 from .full import payments, surroundings
-from .tables import EVENT_TX, event_tx
+from .tables import EVENT_TX, ORDER_TX, event_tx, order_tx
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +220,74 @@ def h17_known_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["h17_known_arrivals"] = f"WITH {EVENT_TX} SELECT tx_id, CASE WHEN tx_id % 10 >= 7 THEN 'new' WHEN tx_id % 17 = 0 THEN 'conflict' ELSE 'duplicate' END AS fate FROM t WHERE tx_id % 10 > 4"
+
+
+@query
+def g01_observed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the graph after three increments of payments that came out of order, over the newest two hundred days."""
+    t = order_tx(spark, sf_dir)
+    state = lg.empty(spark)
+    for k in (1, 2, 0):
+        state = lg.observe(state, t.where(F.col("tx_id") % 3 == k), 200)
+    return state.edges().select("a", "b", "n", F.round(F.col("total").cast("double"), 2).alias("total"), "last_us")
+
+
+ORACLES["g01_observed_graph"] = f"""WITH {ORDER_TX}, e AS (
+  SELECT 'C:' || cust AS a, 'A:' || payee AS b, amount, us FROM t WHERE payee <> '' UNION ALL SELECT 'C:' || cust, 'D:' || device, 0, us FROM t WHERE device IS NOT NULL AND device::VARCHAR <> '')
+SELECT a, b, count(*)::BIGINT AS n, round(sum(amount::DECIMAL(28,8))::DOUBLE, 2) AS total, max(us) AS last_us FROM e WHERE us // {fr.DAY} >= (SELECT max(us // {fr.DAY}) FROM e) - 200 GROUP BY a, b"""
+
+
+@query
+def g09_mended_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of events' customers, accounts and devices, mended after each of four increments with a window of five days."""
+    t = event_tx(spark, sf_dir)
+    state = lg.empty(spark)
+    for k in (2, 0, 3, 1):
+        state = lg.observe(state, t.where(F.col("tx_id") % 4 == k), 5)
+    return state.labels
+
+
+@query
+def j39_population_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each feature of a day differs from the population of the first twenty, by sketches of days that are added up."""
+    x = rows(spark, sf_dir)
+    start = x.agg(F.min("us")).first()[0] or 0
+    days = materialise(sk.sketches(x.withColumn("day", F.expr(f"(us - {start}) div {fr.DAY}")), list(COLUMNS), ["day"]), "sketches")
+    reference = sk.merged(days.where("day < 20"))
+    return sk.drift(reference, days.where("day >= 20"), ["day"]).select("day", "name", F.round("psi", 6).alias("psi"))
+
+
+@query
+def j39_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the amounts of each day."""
+    return sk.sketches(event_tx(spark, sf_dir).withColumn("day", F.expr(f"us div {fr.DAY}")), ["amount"], ["day"])
+
+
+ORACLES["j39_day_sketches"] = f"WITH {EVENT_TX} SELECT us // {fr.DAY} AS day, 'amount' AS name, CASE WHEN abs(amount) < {sk.LEAST} THEN 0 ELSE sign(amount)::BIGINT * (ceil(round(ln(greatest(abs(amount), {sk.LEAST})) / {math.log(sk._G)!r}, 9))::BIGINT + {sk._OFFSET}) END AS bucket, count(*)::BIGINT AS n FROM t WHERE amount IS NOT NULL AND NOT isnan(amount) GROUP BY ALL"
+
+
+@query
+def j15_champion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the champion as the registry gives it back: fitted on the first 70 % by time, registered and promoted."""
+    x = rows(spark, sf_dir)
+    model, _, split = fitted(x)
+    train = split.where("part = 'train'").select("tx_id", *COLUMNS)
+    forest = md.grown_forest(train, list(COLUMNS), trees=20)
+    knots = md.quantile_points(md.forest_scores(train, forest, list(COLUMNS)), "anomaly")
+    registry = rg.Registry(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}")
+    registry.register("v1", rg.Bundle(model, list(COLUMNS), forest, knots, dict(zip(("ml_score", "anomaly_score"), sc.STACKER[1:], strict=True)), sc.INTERCEPT, {}), {"rows": train.count()})
+    registry.promote("v1")
+    champion = registry.load_role("champion")
+    return champion.stacked(champion.scores(x)).select("tx_id", F.round("ml_score", 6).alias("ml_score"), F.round("anomaly_score", 6).alias("anomaly_score"), F.round("stacked", 6).alias("stacked"))
+
+
+@query
+def q28_state_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many customers the state of a stopped stream holds, read from its store, and the files it has not taken."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    s = st.running_profiles(st.event_stream(spark, sf_dir))
+    s.writeStream.outputMode("update").option("checkpointLocation", base).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.format("noop").mode("overwrite").save()).start().awaitTermination()
+    return mo.state_keys(spark, base).agg(F.sum("keys").alias("keys"))
+
+
+ORACLES["q28_state_keys"] = "SELECT count(DISTINCT user_id)::BIGINT AS keys FROM events"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import models as md
 from ..streaming import streams as st
@@ -26,14 +27,25 @@ def query(sql: str | None = None):
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, none of which tells the channel, and y: the event is an error."""
     e = event_tx(spark, sf_dir)
-    return ft.features(e, COLUMNS).join(e.select("tx_id", (F.col("amount") > 120).cast("int").alias("y")), "tx_id")
+    return ft.features(e, COLUMNS, keep=("tx_id", "us")).join(e.select("tx_id", (F.col("channel") == "error").cast("int").alias("y")), "tx_id")
 
 
 @query()
 def j05_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score, _ = md.boosted_trees(_rows(spark, sf_dir), COLUMNS, rounds=5, depth=3)
-    return score(_rows(spark, sf_dir)).select("tx_id", "y", F.round("p", 6).alias("p"))
+    """Fitted on the first 70 % by time; scores of the events after those."""
+    split = ev.row_split(_rows(spark, sf_dir), ["us", "tx_id"])
+    score, _ = md.boosted_trees(split.where("part = 'train'"), COLUMNS, rounds=5, depth=3)
+    return score(split.where("part <> 'train'")).select("tx_id", "part", "y", F.round("p", 6).alias("p"))
+
+
+@query()
+def j07_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the gain each feature of the fitted model has."""
+    split = ev.row_split(_rows(spark, sf_dir), ["us", "tx_id"])
+    _, gain = md.boosted_trees(split.where("part = 'train'"), COLUMNS, rounds=5, depth=3)
+    return spark.createDataFrame([(k, round(v, 5)) for k, v in gain.items()], "feature string, gain double")
 
 
 @query()

@@ -47,11 +47,14 @@ def e21_new_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.location_features(t, c)
 
 
-@query("SELECT conv_id, turn, round(least(1, (contains(lower(text), 'acil'))::INT * 0.6 + (contains(lower(text), 'the'))::INT * 0.3 + (contains(lower(text), 'con'))::INT * 0.25), 6)::DOUBLE AS purpose_risk FROM conversations WHERE regexp_full_match(text, '[ -~\\n]*')")
+_FOLDED = "replace(strip_accents(lower(translate(text, 'Iİ', 'ıi'))), 'ı', 'i')"
+
+
+@query(f"SELECT conv_id, turn, round(least(1, (contains(f, 'acil'))::INT * 0.6 + (contains(f, 'the'))::INT * 0.3 + (contains(f, 'con'))::INT * 0.25), 6)::DOUBLE AS purpose_risk FROM (SELECT conv_id, turn, coalesce({_FOLDED}, '') AS f FROM conversations)")
 def e41_purpose_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over whole texts; those with letters beyond ASCII are left to a test, as SQL folds them another way."""
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[ -~\\n]*$"))
-    return c.select("conv_id", "turn", F.round(sg.purpose_risk(F.col("text"), {"acil": 0.6, "the": 0.3, "con": 0.25}), 6).alias("purpose_risk"))
+    """Over the whole of every text."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.round(F.coalesce(sg.purpose_risk(F.col("text"), {"acil": 0.6, "the": 0.3, "con": 0.25}), F.lit(0.0)), 6).alias("purpose_risk"))
 
 
 @query(f"WITH {EVENT_TX} SELECT tx_id, coalesce(CASE WHEN tx_id % 2 = 0 THEN amount END, 0) AS app_score, 0::DOUBLE AS graph_score FROM t")
