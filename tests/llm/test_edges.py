@@ -181,6 +181,19 @@ def test_recall_by_identity(spark, every, least):
     assert found <= {(2 * i + 1, 2 * i) for i in range(n)} and len(found) >= least * n
 
 
+@pytest.mark.parametrize("period", [1, 2, 5, 10, 12, 13, 30])
+def test_passages_of_texts_that_repeat_themselves(spark, period):
+    sentence = words(period, 900 + period, 10**6)
+    told = (sentence * 300)[:300]
+    rows = [(1, " ".join(told)), (2, " ".join(words(40, 1, 10**6) + told + words(25, 2, 10**6))), (3, " ".join(told)), (4, " ".join(words(7, 3, 10**6) + told[:60])), (5, " ".join(words(80, 4, 10**6) + told[:30]))]
+    covered = {}
+    for x in chaining.passages(docs(spark, rows)).collect():
+        assert x["source_id"] < x["doc_id"] and x["matched"] >= 0.8 * (x["end_word"] - x["start_word"])
+        covered.setdefault(x["doc_id"], set()).update(range(x["start_word"], x["end_word"]))
+    assert set(covered) == {2, 3, 4}
+    assert covered[3] == set(range(300)) and set(range(40, 340)) <= covered[2] and set(range(7, 67)) <= covered[4]
+
+
 # --- store ----------------------------------------------------------------------------
 def test_scratch_tables_go_and_settings_come_back(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

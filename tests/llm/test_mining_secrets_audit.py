@@ -190,7 +190,7 @@ def audited(spark, docs, labels):
     return sorted(map(tuple, out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley").collect()))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_filter_audit_equals_a_plain_count(spark, seed):
     r = random.Random(seed)
     docs = []

@@ -1,7 +1,9 @@
 """Fuzzy passages that documents share: seeds, collinear chains, alignment.
 
 Seeds are minimizers, the word k-mers of least hash in every window of WINDOW
-successive ones, so that equal stretches of k + WINDOW - 1 words share one. A
+successive ones, so that equal stretches of k + WINDOW - 1 words share one; a
+seed that follows itself, as where a text repeats, is kept once with how far it
+reaches, and counts as long as it reaches in both documents. A
 seed's first document leads: every other occurrence of the seed is matched with
 all of the leader's. A passage whose seeds are led by several documents, none
 of which holds it whole, is told by links, two seeds MIN_SPAN to NEAR words
@@ -46,11 +48,17 @@ MAX_GAP = 60
 NEAR = MIN_SPAN + MAX_GAP
 
 
-def minimizers(hashes: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the seeds of all texts, their texts and word positions. Texts of fewer than k words have none."""
+def minimizers(hashes: np.ndarray, at: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the seeds of all texts, their texts and word positions, and how far each is said again.
+
+    Texts of fewer than k words have none. Where successive seeds are one and the
+    same, as in a text that repeats itself, they are one seed that reaches from
+    the first to the last of them.
+    """
     n = len(hashes)
     if n < k:
-        return hashes[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return hashes[:0], none, none, none
     mers = text.shingles(hashes, k)
     of = np.searchsorted(at, np.arange(len(mers)), side="right") - 1
     crosses = np.arange(len(mers)) + k > at[of + 1]
@@ -67,8 +75,11 @@ def minimizers(hashes: np.ndarray, at: np.ndarray, k: int = K, window: int = WIN
     where = np.flatnonzero(picked & ~crosses)
     # of a run of one seed the first, as the alignment runs along the rest: else a word said n times matches n x n places
     again = (mers[where][1:] == mers[where][:-1]) & (of[where][1:] == of[where][:-1])
-    where = where[np.concatenate((np.ones(min(1, len(where)), bool), ~again))]
-    return mers[where], of[where], where - at[of[where]]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(where)), bool), ~again)))
+    last = np.concatenate((first[1:], [len(where)]))[: len(first)] - 1
+    reach = where[last] - where[first]
+    where = where[first]
+    return mers[where], of[where], where - at[of[where]], reach
 
 
 def merge(x: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -199,8 +210,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for a, b in text.chunks(texts):
             w = text.words(texts[a:b])
-            h, of, at = minimizers(w.hashes, w.at)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[a:b][of]), pa.array(at.astype(np.int32))], ["seed", "doc", "at"])
+            h, of, at, reach = minimizers(w.hashes, w.at)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[a:b][of]), pa.array(at.astype(np.int32)), pa.array(reach.astype(np.int32))], ["seed", "doc", "at", "reach"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +238,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc, np.int64)), pa.array(some)], ["link", "doc", "open"])
 
 
+def _reach(chain: list[tuple[int, int, int]], xs: np.ndarray, ys: np.ndarray, far: np.ndarray) -> int:
+    """Where a chain ends, counting how far the seeds of its last anchor are said again in both texts."""
+    x, y, n = chain[-1]
+    end = x + n
+    if end - chain[0][0] >= MIN_SPAN:
+        return end
+    lo, hi = np.searchsorted(xs, (x, x + n))
+    on = xs[lo:hi] - ys[lo:hi] == x - y
+    return max([end, *(xs[lo:hi] + far[lo:hi] + K)[on].tolist()])
+
+
 _CHAIN = "doc long, lead long, xs array<int>, ys array<int>, ns array<int>"
 
 
@@ -236,15 +258,15 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             v = found.values
-            leads, xs, ys = (v.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            leads, xs, ys, far = (v.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             order = np.lexsort((ys, xs, leads))
-            leads, xs, ys = leads[order], xs[order], ys[order]
+            leads, xs, ys, far = leads[order], xs[order], ys[order], far[order]
             cut = np.concatenate(([0], np.flatnonzero(np.diff(leads)) + 1, [len(leads)]))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if xs[b - 1] + K - xs[a] < MIN_SPAN:
+                if (xs[a:b] + far[a:b]).max() + K - xs[a] < MIN_SPAN:
                     continue
                 for chain in chains(merge(xs[a:b], ys[a:b], K)):
-                    if chain[-1][0] + chain[-1][2] - chain[0][0] >= MIN_SPAN:
+                    if _reach(chain, xs[a:b], ys[a:b], far[a:b]) - chain[0][0] >= MIN_SPAN:
                         out.append({"doc": doc, "lead": int(leads[a]), "xs": [c[0] for c in chain], "ys": [c[1] for c in chain], "ns": [c[2] for c in chain]})
         yield pa.RecordBatch.from_pylist(out, pa.schema([("doc", pa.int64()), ("lead", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("xs", "ys", "ns"))]))
 
@@ -311,25 +333,26 @@ def passages(documents: DataFrame, *, within: bool = False) -> DataFrame:
 
 def _passages(documents: DataFrame, within: bool, scratch: Scratch) -> DataFrame:
     docs, renamed = _numbered(documents, scratch)
-    seeds = scratch.keep(docs.select("text", "doc").mapInArrow(frugal(_seeds), "seed long, doc long, at int"), "seeds")
+    seeds = scratch.keep(docs.select("text", "doc").mapInArrow(frugal(_seeds), "seed long, doc long, at int, reach int"), "seeds")
     leads = seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     leads = leads.where("n > 1" if within else "first < last").select("seed", "first")
     shared = scratch.keep(seeds.join(leads, "seed"), "shared")
-    places = shared.select("seed", F.col("doc").alias("lead"), F.col("at").alias("y"))
+    places = shared.select("seed", F.col("doc").alias("lead"), F.col("at").alias("y"), F.col("reach").alias("lead_reach"))
+    far = F.least("reach", "lead_reach").alias("far")
 
     def told(matches: DataFrame) -> DataFrame:
-        """Passages of matches (doc, lead, at, y)."""
-        matches = matches.groupBy("doc").agg(F.collect_list(F.struct("lead", "at", "y")).alias("found"))
+        """Passages of matches (doc, lead, at, y, far)."""
+        matches = matches.groupBy("doc").agg(F.collect_list(F.struct("lead", "at", "y", "far")).alias("found"))
         found = scratch.keep(matches.mapInArrow(frugal(_chains), _CHAIN), "chains")
         texts = scratch.keep(docs.join(_small(scratch.keep(found.select("doc").union(found.select("lead")).distinct(), "needed")), "doc", "left_semi"), "texts")
         pairs = found.join(texts, "doc").join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
         rows = pairs.select("doc", "lead", "xs", "ys", "ns", "text", "lead_text").mapInArrow(frugal(_aligned), "doc long, start long, end long, lead long, lead_start long, lead_end long, matched long")
         return scratch.keep(rows, "passages")
 
-    matches = shared.where("doc > first").select("doc", "at", "seed", F.col("first").alias("lead")).join(places, ["seed", "lead"]).select("doc", "lead", "at", "y")
+    matches = shared.where("doc > first").select("doc", "at", "reach", "seed", F.col("first").alias("lead")).join(places, ["seed", "lead"]).select("doc", "lead", "at", "y", far)
     if within:
         before = F.lag("at").over(W.partitionBy("seed", "doc").orderBy("at"))
-        matches = matches.union(shared.select("doc", F.col("doc").alias("lead"), "at", before.alias("y")).where("y is not null"))
+        matches = matches.union(shared.select("doc", F.col("doc").alias("lead"), "at", before.alias("y"), F.lit(0).alias("far")).where("y is not null"))
     rows = told(matches)
     # documents of a link that no passage of theirs holds, with the link's first document
     known = rows.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("told"))
@@ -337,7 +360,7 @@ def _passages(documents: DataFrame, within: bool, scratch: Scratch) -> DataFrame
     links = scratch.keep(by_doc.select("doc", "found", "told").mapInArrow(frugal(_links), "link long, doc long, open boolean"), "links")
     firsts = links.groupBy("link").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("link", "lead")
     pairs = scratch.keep(links.where("open").select("link", "doc").join(firsts, "link").where("lead < doc").select("doc", "lead").distinct(), "pairs")
-    rest = told(pairs.join(shared.select("doc", "seed", "at"), "doc").join(places, ["lead", "seed"]).select("doc", "lead", "at", "y"))
+    rest = told(pairs.join(shared.select("doc", "seed", "at", "reach"), "doc").join(places, ["lead", "seed"]).select("doc", "lead", "at", "y", far))
     names, sources = _small(renamed), _small(renamed.select(F.col("doc").alias("lead"), F.col("doc_id").alias("source_id")))
     rows = rows.union(rest).distinct().join(names, "doc", "left").join(sources, "lead", "left")
     own = lambda number, name: F.when(F.col(number) >= HIGH, F.col(number)).otherwise(F.col(name)).alias(name)
