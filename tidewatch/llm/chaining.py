@@ -151,26 +151,36 @@ def chains(anchors: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_
 
 
 def _edit_matches(a: np.ndarray, b: np.ndarray) -> int:
-    """Most equal words that an alignment of a and b with fewest edits has."""
+    """Most equal words that an alignment of a and b with fewest edits has.
+
+    Some such alignment pairs what both begin and end with, so only the words between are aligned.
+    """
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    head = int(unlike[0]) if len(unlike) else n
+    a, b, n = a[head:], b[head:], n - head
+    unlike = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(unlike[0]) if len(unlike) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return head + tail + _inner_matches(a, b)
+
+
+def _inner_matches(a: np.ndarray, b: np.ndarray) -> int:
     if not len(a) or not len(b):
         return 0
-    if len(a) == len(b) and len(a) <= 2:
-        return int((a == b).sum())
-    place = np.arange(len(b) + 1)
-    cost, match = place, np.zeros(len(b) + 1, np.int64)
-    for i in range(len(a)):
-        new_cost, new_match = cost + 1, match.copy()
-        same = (b == a[i]).astype(np.int64)
-        diagonal, diagonal_match = cost[:-1] + 1 - same, match[:-1] + same
-        better = (diagonal < new_cost[1:]) | ((diagonal == new_cost[1:]) & (diagonal_match > new_match[1:]))
-        new_cost[1:], new_match[1:] = np.where(better, diagonal, new_cost[1:]), np.where(better, diagonal_match, new_match[1:])
-        # insertions run along the row: each place is reached from the nearest before it that is cheapest
-        level = new_cost - place
-        least = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == least, place, 0))
-        new_cost, new_match = least + place, new_match[source]
-        cost, match = new_cost, new_match
-    return int(match[-1])
+    if len(a) == len(b) == 1:
+        return int(a[0] == b[0])
+    # an edit costs more than all matches together are worth, so the least key is that of fewest edits and then of most matches
+    edit = 1 << 32
+    steps = np.arange(len(b) + 1, dtype=np.int64) * edit
+    key = steps
+    for word in a:
+        new = key + edit
+        same = b == word
+        new[1:] = np.minimum(new[1:], key[:-1] + np.where(same, -1, edit))
+        # insertions run along the row
+        key = np.minimum.accumulate(new - steps) + steps
+    return int(-key[-1] % edit)
 
 
 def _extend(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int]:
@@ -197,7 +207,8 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tu
     """(start, end) in a, (start, end) in b and equal words of a chain with both its extensions."""
     matches = sum(n for _, _, n in chain)
     for (x, y, n), (x2, y2, _) in zip(chain, chain[1:], strict=False):
-        matches += _edit_matches(a[x + n : x2], b[y + n : y2])
+        between, other = a[x + n : x2], b[y + n : y2]
+        matches += len(between) if between.tobytes() == other.tobytes() else _edit_matches(between, other)
     x0, y0 = chain[0][:2]
     x1, y1 = chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
     back, more = _extend(a[:x0][::-1], b[:y0][::-1])
