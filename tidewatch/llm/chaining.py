@@ -348,6 +348,7 @@ def _passages(documents: DataFrame, within: bool, scratch: Scratch) -> DataFrame
     leads = seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     leads = leads.where("n > 1" if within else "first < last").select("seed", "first")
     shared = scratch.keep(seeds.join(leads, "seed"), "shared")
+    scratch.drop(seeds)
     places = shared.select("seed", F.col("doc").alias("lead"), F.col("at").alias("y"), F.col("reach").alias("lead_reach"))
     far = F.least("reach", "lead_reach").alias("far")
 
@@ -355,10 +356,13 @@ def _passages(documents: DataFrame, within: bool, scratch: Scratch) -> DataFrame
         """Passages of matches (doc, lead, at, y, far)."""
         matches = matches.groupBy("doc").agg(F.collect_list(F.struct("lead", "at", "y", "far")).alias("found"))
         found = scratch.keep(matches.mapInArrow(frugal(_chains), _CHAIN), "chains")
-        texts = scratch.keep(docs.join(_small(scratch.keep(found.select("doc").union(found.select("lead")).distinct(), "needed")), "doc", "left_semi"), "texts")
+        needed = scratch.keep(found.select("doc").union(found.select("lead")).distinct(), "needed")
+        texts = scratch.keep(docs.join(_small(needed), "doc", "left_semi"), "texts")
         pairs = found.join(texts, "doc").join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
         rows = pairs.select("doc", "lead", "xs", "ys", "ns", "text", "lead_text").mapInArrow(frugal(_aligned), "doc long, start long, end long, lead long, lead_start long, lead_end long, matched long")
-        return scratch.keep(rows, "passages")
+        rows = scratch.keep(rows, "passages")
+        scratch.drop(found, needed, texts)
+        return rows
 
     matches = shared.where("doc > first").select("doc", "at", "reach", "seed", F.col("first").alias("lead")).join(places, ["seed", "lead"]).select("doc", "lead", "at", "y", far)
     if within:

@@ -94,6 +94,11 @@ class Scratch:
         self.frames.append(materialise(df, name))
         return self.frames[-1]
 
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        discard(*frames)
+        self.frames = [f for f in self.frames if not any(f is g for g in frames)]
+
     def clear(self) -> None:
         discard(*self.frames)
         self.frames = []
