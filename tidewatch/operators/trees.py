@@ -17,7 +17,6 @@ one comparison a split and one polynomial a pattern that occurs.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -146,8 +145,3 @@ def contributions(rows: DataFrame, of: Sequence[Path], columns: Sequence[str], k
     phi = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, f"`{key}` {kind}, _phi array<double>")
     names = F.array(*map(F.lit, columns))
     return phi.select(key, F.posexplode("_phi").alias("_i", "value")).select(key, F.get(names, F.col("_i")).alias("feature"), "value")
-
-
-def describe(of: Sequence[Path], columns: Sequence[str]) -> str:
-    """The paths as JSON, for a model bundle."""
-    return json.dumps([{"features": [columns[f] for f in p.features], "hi": p.hi, "lo": p.lo, "share": p.share, "value": p.value} for p in of])
