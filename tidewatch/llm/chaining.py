@@ -9,8 +9,8 @@ all of the leader's. A passage whose seeds are led by several documents, none
 of which holds it whole, is told by links, two seeds MIN_SPAN to NEAR words
 apart and how far: the documents of a link that lies in no passage told so far
 are matched with the link's own first document, on all the seeds they share.
-Every table grows with seeds and links, none with the square of the documents
-that share one. Matches of one document with one
+No table grows with the square of the documents that share a seed or a link; a
+seed said m times in one document and n times, apart, in its leader has m * n matches. Matches of one document with one
 leader are merged into anchors where they continue one another, and chained:
 among anchors that follow in both documents with no gap over MAX_GAP, a
 segment tree over the leader's positions yields the best predecessor, a gap

@@ -14,8 +14,9 @@ whose members are of several components then are taken up once more: only nodes
 of different components need comparing, so the members outside a bucket's
 largest component are set against all others, both dealt into blocks of bounded
 size. A task compares two blocks in memory, each pair in the first bucket that
-it shares, and returns only links that join components. So no link is lost, no
-bucket is cut, and no table grows with the square of a bucket.
+it shares, and returns only links that join components. So no link is lost and no
+bucket is cut. A bucket of n nodes without a large component is read n / 256
+times, once for each of its blocks: as texts, n * n / 256 of them.
 """
 
 from __future__ import annotations
