@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, hashed draws and token ids have no SQL; tests compare the stages with plain restatements.
+#: Models, hashed draws and token ids have no SQL; tests compare the stages with the operators applied by hand, which have brute-force tests of their own (all but op9).
 ORACLE_SQL = None
 
 
