@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -148,24 +151,89 @@ def peer_average(records: DataFrame, group: str, value: str) -> DataFrame:
     return records.withColumn("peer_average", F.when(n > 1, (total - F.col(value)) / (n - 1)).otherwise(F.col(value)))
 
 
-#: Parts that the vectors are dealt into where nothing else narrows a search.
-BLOCKS = 64
+#: Components of the vectors that a task takes from either side, and rows of them at most.
+COMPONENTS, SLICE = 1 << 23, 65_536
+#: Queries multiplied with a slice at once.
+_AT_ONCE = 256
+
+
+def _units(column: pa.ChunkedArray) -> tuple[np.ndarray, Callable[[np.ndarray, int], np.ndarray]]:
+    """Lengths (0: no cosine) of a column of lists of doubles, and a function that gives rows of one length as unit vectors."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(column).to_numpy()
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    odd = np.concatenate(([0.0], np.cumsum(np.where(np.isfinite(flat), 0.0, 1.0))))
+    good = odd[starts[1:]] == odd[starts[:-1]]
+    norms = np.zeros(len(sizes))
+    full = np.flatnonzero(sizes > 0)
+    if len(full):
+        with np.errstate(over="ignore", invalid="ignore"):
+            norms[full] = np.sqrt(np.add.reduceat(flat * flat, starts[full]))
+    good &= (norms > 0) & np.isfinite(norms)
+    starts = starts[:-1]
+    return np.where(good, sizes, 0), lambda rows, size: flat[starts[rows][:, None] + np.arange(size)] / norms[rows][:, None]
+
+
+def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        v_ids, q_ids = left.column("v_id").to_numpy(), right.column("q_id").to_numpy()
+        v_sizes, v = _units(left.column("v"))
+        q_sizes, q = _units(right.column("q"))
+        found = [(0, v_ids[:0], np.zeros(0))]
+        # by identifier, so that of equal cosines the first are those that stay
+        order = np.argsort(v_ids, kind="stable")
+        for size in np.unique(q_sizes):
+            own = np.flatnonzero(q_sizes == size)
+            like = order[v_sizes[order] == size] if size else order[:0]
+            rest = order[v_sizes[order] != size] if size else order
+            matrix = v(like, size)
+            for a in range(0, len(own), _AT_ONCE):
+                part = own[a : a + _AT_ONCE]
+                cosines = np.floor(q(part, size) @ matrix.T * 1e6 + 0.5) / 1e6 if len(like) else np.zeros((len(part), 0))
+                for row, i in enumerate(part):
+                    c = np.where(v_ids[like] == q_ids[i], -np.inf, cosines[row])
+                    if len(c) > k:
+                        c[c < np.partition(c, len(c) - k)[len(c) - k]] = -np.inf
+                    best = np.flatnonzero(c > -np.inf)
+                    best = best[np.argsort(-c[best], kind="stable")][:k]
+                    found.append((q_ids[i], v_ids[like[best]], c[best]))
+                    if len(best) < k:
+                        none = rest[v_ids[rest] != q_ids[i]][: k - len(best)]
+                        found.append((q_ids[i], v_ids[none], np.full(len(none), np.nan)))
+        who = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+        ids, cosine = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+        return pa.table({"q_id": pa.array(who, pa.int64()), "v_id": pa.array(ids, pa.int64()), "cosine": pa.array(cosine, pa.float64(), from_pandas=True)})
+
+    return nearest
 
 
 def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector: str = "embedding", same: str | None = None) -> DataFrame:
-    """The k nearest vectors by cosine of a stated query set, among rows equal in ``same``, or among all.
-
-    Without ``same`` the vectors are dealt into blocks and every block meets
-    all queries, and keeps its own k best before these are put together. A
-    vector of zeros has no cosine and comes last.
+    """The k nearest vectors by cosine (to 6 digits) of a stated query set, among rows equal in ``same``, or among all.
+
+    Vectors are dealt into slices and queries into groups of bounded size, a hot value of
+    ``same`` included; a task multiplies a slice with a group, block by block, and returns
+    k rows a query, so no pair is a row. Equal cosines go to the smaller identifier. Null,
+    empty and zero vectors, those with a null or non-finite component, and those of another
+    length have no cosine and come last, with null. Null identifiers and null values of
+    ``same`` take no part; a row is no neighbour of one with its own identifier; repeated rows count each.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    block = F.pmod(F.xxhash64(id_col), F.lit(BLOCKS))
-    v = vectors.select(F.col(id_col).alias("v_id"), doubles.alias("v"), (F.col(same) if same else block).alias("s"))
-    q = queries.select(F.col(id_col).alias("q_id"), doubles.alias("q"), (F.col(same) if same else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))).alias("s"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    j = v.join(q, "s").where("q_id <> v_id").select("q_id", "v_id", "s", F.round(dot / F.nullif(norm(F.col("q")) * norm(F.col("v")), F.lit(0.0)), 6).alias("cosine"))
-    for keys in (["q_id", "s"], ["q_id"]):
-        j = j.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("cosine"), "v_id"))).where(F.col("rank") <= k)
-    return j.select("q_id", "v_id", "cosine", "rank")
+    spark = vectors.sparkSession
+    doubles = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
+    key = F.col(same) if same else F.lit(0)
+    v = vectors.where(F.col(id_col).isNotNull() & key.isNotNull())
+    q = queries.where(F.col(id_col).isNotNull() & key.isNotNull())
+
+    def parts(rows: DataFrame) -> int:
+        t = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("c")).first()
+        return max(1, -(-t["n"] // SLICE), -(-t["c"] // COMPONENTS))
+
+    slices, groups = max(parts(v), spark.sparkContext.defaultParallelism), parts(q)
+    deal = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    v = v.select(F.col(id_col).cast("long").alias("v_id"), doubles.alias("v"), key.alias("_k"), deal(slices).alias("_s"), each(groups).alias("_g"))
+    q = q.select(F.col(id_col).cast("long").alias("q_id"), doubles.alias("q"), key.alias("_k"), deal(groups).alias("_g"), each(slices).alias("_s"))
+    keys = ["_k", "_s", "_g"]
+    j = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_nearest(k), "q_id long, v_id long, cosine double")
+    w = W.partitionBy("q_id").orderBy(F.desc("cosine"), "v_id")
+    kind = vectors.schema[id_col].dataType
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q_id").cast(kind).alias("q_id"), F.col("v_id").cast(kind).alias("v_id"), "cosine", "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +69,34 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def quantiles(values: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by..., point, value: exact quantiles of each group, linear between order statistics.
+
+    Values are counted and the counts put in order by ranges, so a group that holds most
+    rows is split too and no task keeps all distinct values. Null values are left out, NaN
+    is the largest; groups without values have no rows, a null group is one of its own.
+    """
+    g = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    g = running_sums(g, [*map(F.col, by), F.col("_v")], {"_upto": F.col("_c")})
+    whole = g.groupBy(*(F.col(c).alias(f"_g_{c}") for c in by)).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
+    j = g.join(whole, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]) if by else g.crossJoin(F.broadcast(whole))
+
+    def here(place: Column) -> Column:
+        """Whether the order statistic of a place, from 0, is this row's value."""
+        return (place >= F.col("_upto") - F.col("_c") - F.col("_base")) & (place < F.col("_upto") - F.col("_base"))
+
+    places = F.array(*(F.struct(F.lit(float(p)).alias("point"), ((F.col("_n") - 1) * F.lit(float(p))).alias("at")) for p in points))
+    low, high = F.floor("_p.at"), F.ceil("_p.at")
+    met = j.withColumn("_p", F.explode(F.filter(places, lambda p: here(F.floor(p["at"])) | here(F.ceil(p["at"])))))
+    ends = met.groupBy(*by, F.col("_p.point").alias("point")).agg(F.max(F.when(here(low), F.col("_v"))).alias("_low"), F.max(F.when(here(high), F.col("_v"))).alias("_high"), F.first("_p.at").alias("_at"))
+    mid = (F.ceil("_at") - F.col("_at")) * F.col("_low") + (F.col("_at") - F.floor("_at")) * F.col("_high")
+    return ends.select(*by, "point", F.when((F.col("_low") == F.col("_high")) | (F.floor("_at") == F.col("_at")), F.col("_low")).otherwise(mid).alias("value"))
+
+
 def reference_edges(values: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """One row: distinct interpolated quantiles, to 8 digits."""
-    q = F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins))))
-    return values.agg(F.array_distinct(F.transform(q, lambda x: F.round(x, 8))).alias("edges"))
+    """One row: distinct interpolated quantiles, to 8 digits; null without values."""
+    q = quantiles(values, value, [i / bins for i in range(1, bins)])
+    return q.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("point", "value"))), lambda x: F.round(x["value"], 8))).alias("edges")).select(F.when(F.size("edges") > 0, F.col("edges")).alias("edges"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, smoothing: float = 1e-4) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import logit, sigmoid
+from .metrics import quantiles
 
 
 def boosted_model(rows: DataFrame, columns: list[str], label: str = "y", *, rounds: int = 20, depth: int = 4, seed: int = 42):
@@ -48,8 +49,8 @@ def stacked(weights: dict[str, float], intercept: float) -> Column:
 
 def quantile_points(rows: DataFrame, value: str, points: int = 201) -> list[float]:
     """Evenly spaced quantiles (a fixed number of values)."""
-    q = F.percentile(value, F.array(*(F.lit(i / (points - 1)) for i in range(points))))
-    return list(rows.agg(q.alias("q")).first()["q"] or [])
+    got = quantiles(rows, value, [i / (points - 1) for i in range(points)]).select("point", "value").collect()
+    return [r["value"] for r in sorted(got, key=lambda r: r["point"])]
 
 
 def calibrated(value: Column, points: list[float]) -> Column:

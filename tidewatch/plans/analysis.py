@@ -98,8 +98,13 @@ def j34_outcome_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS top FROM events GROUP BY 1")
 def j40_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q"), F.max("value").alias("top")).select("event_type", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"), F.round(F.col("q")[2], 6).alias("p99"), "top")
+    e = table(spark, sf_dir, "events")
+    q = mx.quantiles(e, "value", [0.5, 0.95, 0.99], by=["event_type"])
+    at = lambda p: F.round(F.max(F.when(F.col("point") == p, F.col("value"))), 6)
+    # one row an event type on either side
+    q = q.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")).withColumnRenamed("event_type", "_type")
+    top = e.groupBy("event_type").agg(F.max("value").alias("top"))
+    return top.join(q, F.col("event_type").eqNullSafe(F.col("_type")), "left").select("event_type", "p50", "p95", "p99", "top")
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import models as md
 from ..streaming import streams as st
-from .tables import event_tx
+from .tables import EVENT_TX, event_tx
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +54,10 @@ def j08_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.isolation_forest(rows, COLUMNS)(rows.select("tx_id", *COLUMNS)).select("tx_id", F.round("anomaly", 6).alias("anomaly"))
 
 
-@query()
+@query(f"""WITH {EVENT_TX}, s AS (SELECT amount, row_number() OVER (ORDER BY amount) - 1 AS i, count(*) OVER () AS n FROM t), p AS (SELECT k, (n - 1) * (k / 200::DOUBLE) AS pos FROM (SELECT unnest(range(201)) AS k), (SELECT DISTINCT n FROM s)),
+q AS (SELECT k, CASE WHEN a.amount = b.amount THEN a.amount ELSE (ceil(pos) - pos) * a.amount + (pos - floor(pos)) * b.amount END AS v FROM p JOIN s a ON a.i = floor(pos) JOIN s b ON b.i = ceil(pos)), l AS (SELECT list(v ORDER BY k) AS knots FROM q),
+b AS (SELECT tx_id, amount, knots, len(list_filter(knots, lambda x: x <= amount)) AS below FROM t, l)
+SELECT tx_id, round(CASE WHEN below = 0 THEN 0 WHEN below > 200 THEN 1 ELSE (below - 1 + CASE WHEN knots[below + 1] > knots[below] THEN (amount - knots[below]) / (knots[below + 1] - knots[below]) ELSE 0 END) / 200 END, 6) AS percentile FROM b""")
 def j10_calibrated_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_tx(spark, sf_dir)
     return rows.select("tx_id", F.round(md.calibrated(F.col("amount"), md.quantile_points(rows, "amount")), 6).alias("percentile"))
