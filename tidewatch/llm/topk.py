@@ -23,6 +23,8 @@ from .store import discard, materialise
 
 #: Vectors of a query block and of a candidate block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
+#: Candidate blocks of a slice at most (on average); every query block meets every slice.
+SLICE_BLOCKS = 64
 _LOW = np.iinfo(np.int64).min
 #: Bits of the score dropped in each pass.
 SHIFTS = (14, 7, 0)
@@ -76,8 +78,6 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return q_ids, c_ids, products(_matrix(row, "q_vectors", len(q_ids)), _matrix(row, "vectors", len(c_ids))), q_ids[:, None] == c_ids[None, :]
 
 
-
-
 def _count(k: int, shift: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Histograms of one pass: bins are scores without ``shift`` bits, within the bin that the pass before (of ``last`` bits) chose."""
 
@@ -142,20 +142,24 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, *, id_col: str = "
     blocks = -(-good.where("q").count() // QUERY_BLOCK)
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = materialise(queries.repartition(blocks, "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK), "queries").withColumn("b", F.monotonically_increasing_id())
-    queries = materialise(queries.select("b", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
+    packed = materialise(queries.repartition(blocks, "vec_id").mapInArrow(_pack(QUERY_BLOCK), _BLOCK), "queries")
+    queries = materialise(packed.withColumn("b", F.monotonically_increasing_id()).select("b", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
     candidates = materialise(good.select("vec_id", "v").mapInArrow(_pack(CANDIDATE_BLOCK), _BLOCK).withColumn("c", F.monotonically_increasing_id()), "candidates")
-    spread = max(1, min(candidates.count(), 4 * spark.sparkContext.defaultParallelism))
-    names = queries.select("b", "dim").collect()  # a few bytes for each thousand queries
-    by_dim = spark.createDataFrame([(r["dim"], r["b"]) for r in names], "dim int, b long")
-    left = candidates.withColumn("s", F.pmod(F.xxhash64("c"), F.lit(spread))).join(by_dim, "dim")
-    right = queries.drop("dim").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    # candidates are shuffled once a pass; it is the fifty times fewer queries that are sent to each slice of them
+    number = candidates.count()
+    spread = max(1, min(number, 4 * spark.sparkContext.defaultParallelism), -(-number // SLICE_BLOCKS))
+    left = candidates.withColumn("s", F.pmod(F.xxhash64("c"), F.lit(spread))).drop("c")
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+
+    def pairs(state: DataFrame | None) -> DataFrame:
+        bins = queries.withColumn("bins", F.lit(None).cast("array<struct<query_id:long,bin:long>>")) if state is None else queries.join(state, "b")
+        met = left.join(bins.withColumn("s", slices), ["dim", "s"])
+        return met.select("dim", "ids", "vectors", "q_ids", "q_vectors", "bins")
+
     members = queries.select("b", F.col("q_ids")).mapInArrow(_unpack, "b long, query_id long")
     state, stale = None, None
     for n, shift in enumerate(SHIFTS):
-        pairs = left.join(right, ["b", "s"])
-        pairs = pairs.withColumn("bins", F.lit(None).cast("array<struct<query_id:long,bin:long>>")) if state is None else pairs.join(state, "b")
-        counts = pairs.select("dim", "ids", "vectors", "q_ids", "q_vectors", "bins").mapInArrow(_count(k, shift, SHIFTS[n - 1] if n else 63), "query_id long, bin long, n long")
+        counts = pairs(state).mapInArrow(_count(k, shift, SHIFTS[n - 1] if n else 63), "query_id long, bin long, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("query_id").orderBy(F.desc("bin"))
         counts = counts.withColumn("upto", F.sum("n").over(down)).join(need, "query_id") if n else counts.withColumn("upto", F.sum("n").over(down)).withColumn("need", F.lit(k).cast("long"))
@@ -168,9 +172,11 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, *, id_col: str = "
         if stale is not None:
             discard(stale)
         stale = fresh
-    best = left.join(right, ["b", "s"]).join(state, "b").select("dim", "ids", "vectors", "q_ids", "q_vectors", "bins").mapInArrow(_take(k), "query_id long, vec_id long, score long")
+    best = pairs(state).mapInArrow(_take(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = materialise(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(packed, queries, candidates, stale)
+    return found
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
