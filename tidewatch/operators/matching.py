@@ -22,28 +22,67 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike("^(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(\\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"), n)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _six_bits(ip: Column) -> Column:
+    """The bits of an IPv6 address in lower case, whose dotted tail has become two groups."""
+    none = F.array().cast("array<string>")
+    groups = lambda side: F.when(F.coalesce(side, F.lit("")) == "", none).otherwise(F.split(side, ":"))
+    bits = lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")
+
+    def filled(sides: Column, left: Column, right: Column) -> Column:
+        gap = 8 - F.size(left) - F.size(right)
+        whole = F.when(F.size(sides) == 1, gap == 0).otherwise((F.size(sides) == 2) & (gap > 0)) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(whole, F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), gap), right), bits), ""))
+
+    return _let(F.split(ip, "::"), lambda s: _let(groups(F.get(s, 0)), lambda x: _let(groups(F.get(s, 1)), lambda y: filled(s, x, y))))
+
+
+def ip_bits(ip: Column) -> Column:
+    """The bits of an address as text: 32 of IPv4, 128 of IPv6 (a zone is left out); null for anything else."""
+    group = lambda n: F.lower(F.hex(n))
+    dotted = lambda x: F.regexp_extract(x, "^(.*:)([0-9]+(?:\\.[0-9]+){3})$", 2)
+    # a dotted tail that is no address gives null
+    plain = lambda x: _let(dotted(x), lambda t: F.when(t == "", x).otherwise(_let(ip_number(t), lambda n: F.concat(F.left(x, F.length(x) - F.length(t)), group(F.shiftright(n, 16)), F.lit(":"), group(n.bitwiseAND(F.lit(65535)))))))
+    six = _let(_let(F.lower(F.regexp_replace(ip, "%[^%/\\s]+$", "")), plain), _six_bits)
+    return F.when(ip.contains(":"), six).otherwise(F.lpad(F.conv(ip_number(ip).cast("string"), 10, 2), 32, "0"))
+
+
 def cidr_ranges(ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
-    """Adds lo, hi and prefix of IPv4 ranges."""
+    """Adds prefix, lo and hi of IPv4 ranges, and net of IPv6 ranges: the bits that all their addresses share."""
     prefix = F.element_at(F.split(cidr, "/"), 2).cast("int")
-    base = ip_number(F.element_at(F.split(F.col(cidr), "/"), 1))
+    address = F.element_at(F.split(F.col(cidr), "/"), 1)
     size = F.pow(F.lit(2.0), 32 - prefix).cast("long")
-    lo = F.floor(base / size) * size
-    return ranges.withColumn("prefix", prefix).withColumn("lo", lo.cast("long")).withColumn("hi", (lo + size - 1).cast("long"))
+    lo = F.floor(ip_number(address) / size) * size
+    return ranges.withColumn("prefix", prefix).withColumn("lo", lo.cast("long")).withColumn("hi", (lo + size - 1).cast("long")).withColumn("net", F.when(address.contains(":"), _net(ip_bits(address), prefix)))
+
+
+def _net(bits: Column, prefix: Column) -> Column:
+    return F.substring(bits, F.lit(1), prefix)
 
 
 def longest_prefix(events: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """Each event with the columns of the narrowest range that holds its address (nulls if none does).
+    """Each event with the columns of the narrowest range that holds its address, IPv4 or IPv6 (nulls if none does).
 
-    Addresses are looked up once each. A range of prefix p holds an address exactly if the address without its low
-    32 - p bits is the range's base, so each prefix length in use is one
+    Addresses are looked up once each. A range of prefix p holds an address exactly if the first p bits of both are
+    equal (of IPv4: the address without its low 32 - p bits is the range's base), so each prefix length in use is one
     equi-join key: no range comparison, and any number of ranges.
     """
-    lengths = [r["prefix"] for r in ranges.select("prefix").distinct().collect()]  # 33 at most
-    probe = events.select(F.col(ip).alias("_a")).distinct().withColumn("_ip", ip_number(F.col("_a"))).where("_ip is not null")
-    probe = probe.select("_a", "_ip", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("prefix"))
-    probe = probe.withColumn("lo", F.col("_ip") - F.col("_ip") % F.pow(F.lit(2.0), 32 - F.col("prefix")).cast("long")).drop("_ip")
-    value = F.struct(*(c for c in ranges.columns if c not in ("lo", "hi", "prefix")))
-    found = probe.join(ranges.select("prefix", "lo", value.alias("_v")), ["prefix", "lo"]).groupBy("_a").agg(F.max_by("_v", "prefix").alias("_v"))
+    addresses = events.select(F.col(ip).alias("_a")).distinct()
+    value = F.struct(*(c for c in ranges.columns if c not in ("lo", "hi", "prefix", "net"))).alias("_v")
+    kinds = ranges.select("prefix", F.col("lo").isNull().alias("six")).distinct().collect()  # 162 at most
+    each = lambda six: F.explode(F.array(*(F.lit(k["prefix"]) for k in kinds if k["six"] == six)).cast("array<int>")).alias("prefix")
+    four = addresses.withColumn("_ip", ip_number(F.col("_a"))).where("_ip is not null").select("_a", "_ip", each(False))
+    four = four.withColumn("lo", F.col("_ip") - F.col("_ip") % F.pow(F.lit(2.0), 32 - F.col("prefix")).cast("long"))
+    found = four.join(ranges.select("prefix", "lo", value), ["prefix", "lo"]).select("_a", "prefix", "_v")
+    if any(k["six"] for k in kinds):
+        six = addresses.where(F.col("_a").contains(":")).select("_a", ip_bits(F.col("_a")).alias("_bits")).select("_a", "_bits", each(True))
+        six = six.select("_a", "prefix", _net(F.col("_bits"), F.col("prefix")).alias("net"))
+        found = found.union(six.join(ranges.where("lo is null").select("prefix", "net", value), ["prefix", "net"]).select("_a", "prefix", "_v"))
+    found = found.groupBy("_a").agg(F.max_by("_v", "prefix").alias("_v"))
     return events.join(found, events[ip] == found["_a"], "left").select(*(events[c] for c in events.columns), "_v.*")
 
 
@@ -117,6 +156,24 @@ def screen(queries: DataFrame, records: DataFrame, *, fuzzy: float = 0.93, singl
     return j.select("q_id", "rec_id", F.when(F.col("exact"), "exact").otherwise("fuzzy").alias("match_type"), F.round("score", 4).alias("match_score"), F.round(conf, 4).alias("confidence"))
 
 
+def screen_payments(payments: DataFrame, records: DataFrame, *, least: float = 0.45) -> DataFrame:
+    """Customers and beneficiaries of payments against a list: tx_id, rec_id, matched_on, match_type, match_score, confidence.
+
+    payments: tx_id, customer_name, birth_year, country, beneficiary_name, beneficiary_id. A customer is asked for with
+    birth year and country, a beneficiary by name alone, and by its identifier where that has a space within.
+    Each distinct question is asked once. A record and a name come once a payment, by the first question that finds
+    them; hits of less confidence than ``least`` do not count. Null and empty names ask nothing.
+    """
+    role = lambda nth, name, year, land: F.struct(F.lit(nth).alias("nth"), name.alias("name"), year.cast("int").alias("birth_year"), land.cast("string").alias("country"))
+    none, code = F.lit(None), F.col("beneficiary_id")
+    roles = F.array(role(1, F.col("customer_name"), F.col("birth_year"), F.col("country")), role(2, F.col("beneficiary_name"), none, none), role(3, F.when(F.trim(code).contains(" "), code), none, none))
+    asked = payments.select("tx_id", F.explode(roles).alias("r")).select("tx_id", "r.*").where("name <> ''")
+    asked = asked.withColumn("q_id", F.sha2(F.to_json(F.struct("name", "birth_year", "country")), 256))
+    hits = screen(asked.select("q_id", "name", "birth_year", "country").distinct(), records).where(F.col("confidence") >= least)
+    found = asked.join(hits, "q_id").groupBy("tx_id", "rec_id", F.col("name").alias("matched_on"))
+    return found.agg(F.min_by(F.struct("match_type", "match_score", "confidence"), "nth").alias("h")).select("tx_id", "rec_id", "matched_on", "h.*")
+
+
 def confirm_payee(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """EXACT, CLOSE, NO_MATCH or UNKNOWN for (q_id, iban, name) against (iban, name); the registered name is masked."""
     clean = lambda c: F.upper(F.replace(F.col(c), F.lit(" "), F.lit("")))

@@ -124,6 +124,27 @@ def profile_features(tx: DataFrame) -> DataFrame:
     return fold_sorted(tx.select(F.coalesce(F.col("cust").cast("string"), F.lit("")).alias("cust"), *cols), "cust", ["us", "tx_id"], start, step, PROFILE_SCHEMA)
 
 
+def profile_summaries(tx: DataFrame) -> DataFrame:
+    """What is known of each customer after its last event: cust, observations, ewma_amount, max_amount, devices.
+
+    Columns and nulls as in :func:`profile_features`; an empty table has no customers.
+    """
+
+    def start(row: dict) -> Profile:
+        return Profile(_clean(row["avg_amount"]) or 0.0)
+
+    def step(p: Profile, row: dict) -> tuple[Profile, dict]:
+        if row["trusted"]:
+            p.learn(_clean(row["amount"]) or 0.0, int(row["us"] // 3_600_000_000 % 24), _clean(row["channel"]) or "", _clean(row["device"]) or "", row["us"], _clean(row["typing"]))
+        return p, {"cust": row["cust"], "us": row["us"], "tx_id": row["tx_id"], "n": float(p.n), "log_mean": p.log_mean, "max_amount": p.max_amount, "devices": len(p.devices)}
+
+    cols = ["tx_id", "us", "amount", "channel", "device", "trusted", "avg_amount", "typing"]
+    dealt = tx.select(F.coalesce(F.col("cust").cast("string"), F.lit("")).alias("cust"), *cols)
+    states = fold_sorted(dealt, "cust", ["us", "tx_id"], start, step, "cust string, us long, tx_id long, n double, log_mean double, max_amount double, devices long")
+    last = states.groupBy("cust").agg(F.max_by(F.struct("n", "log_mean", "max_amount", "devices"), F.struct("us", "tx_id")).alias("s"))
+    return last.select("cust", F.round("s.n", 1).alias("observations"), F.round(F.expm1("s.log_mean"), 2).alias("ewma_amount"), F.round("s.max_amount", 2).alias("max_amount"), "s.devices")
+
+
 def should_learn(decision: str, label: str) -> F.Column:
     """Fraud never teaches; a trusted label always does; otherwise an ALLOW decision does."""
     return F.when(F.col(label) == "fraud", False).when(F.col(label) == "trusted", True).otherwise(F.col(decision) == "ALLOW")

@@ -98,3 +98,38 @@ def feature_ablation(train: DataFrame, test: DataFrame, columns: Sequence[str],
         every = reduce(DataFrame.unionByName, pool.map(area, [("", ()), *groups.items()]))
     base = every.where("group = ''").select(F.col("ap").alias("_all"))
     return every.crossJoin(F.broadcast(base)).select("group", "removed", F.round("ap", 6).alias("pr_auc"), F.round(F.col("_all") - F.col("ap"), 6).alias("loss"))
+
+
+def learned_layers(rows: DataFrame, columns: Sequence[str], order: Sequence[str], *, trees: int = 20, depth: int = 4) -> DataFrame:
+    """The last 15 % of rows in the order, with gbm, anomaly and hybrid: learned scores alone, no rules and no graph.
+
+    Boosted trees are fitted on the first 70 %. The anomaly is the mean of an isolation forest and of
+    tail shares, both of the clean rows there, as percentiles of the clean rows of the next 15 %;
+    on these the two scores are stacked. Rows need ``y``; the order must be unique.
+    """
+    columns = list(columns)
+    split = materialise(ev.row_split(rows, order), "learned-split")
+    part = lambda p: split.where(F.col("part") == p).drop("part")
+    model = md.boosted_model(part("train"), columns, rounds=trees, depth=depth)
+    clean = part("train").where("y = 0")
+    forest, tails = md.isolation_forest(clean, columns), md.fitted_tails(clean, columns)
+    raw = lambda df: tails(forest(md.boosted_scores(model, df, columns).withColumnRenamed("p", "gbm")))
+    valid = materialise(raw(part("valid")), "learned-valid")
+    usual = valid.where("y = 0")
+    of_forest, of_tails = md.quantile_points(usual, "anomaly"), md.quantile_points(usual, "ecod")
+    ready = lambda df: df.withColumn("anomaly", (md.calibrated(F.col("anomaly"), of_forest) + md.calibrated(F.col("ecod"), of_tails)) / 2).drop("ecod")
+    weights, intercept = md.stacker(ready(valid), ["gbm", "anomaly"])
+    return ready(raw(part("test"))).withColumn("hybrid", md.stacked(weights, intercept))
+
+
+def learned_only_protocol(scored: DataFrame, order: Sequence[str], *, budget: float = 0.01, rounds: int = 100) -> DataFrame:
+    """One row a layer of :func:`learned_layers`, whose rows also have ``amount``: the standard block, the interval of its PR area,
+    and what it gains on the boosted trees alone (null for these), with interval and verdict, on the same stratified resamples.
+    """
+    layers = ("gbm", "anomaly", "hybrid")
+    scored = materialise(scored, "learned-scores")
+    sample = materialise(ev.resampled(scored, order, rounds), "learned-resamples")
+    blocks = ev.layer_metrics(scored, layers, budget)
+    own = reduce(DataFrame.unionByName, (ev.interval(ev.average_precision_by_round(sample, n), "ap").select(F.lit(n).alias("layer"), F.col("low").alias("pr_auc_low"), F.col("high").alias("pr_auc_high")) for n in layers))
+    gain = reduce(DataFrame.unionByName, (ev.paired_difference(scored, order, n, "gbm", rounds).select(F.lit(n).alias("layer"), F.col("delta").alias("gain"), F.col("low").alias("gain_low"), F.col("high").alias("gain_high"), "verdict") for n in layers[1:]))
+    return blocks.join(F.broadcast(own), "layer").join(F.broadcast(gain), "layer", "left")

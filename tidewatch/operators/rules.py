@@ -202,5 +202,41 @@ CORE_RULES = [
 ]
 
 
+# The reason texts of the core rules.
+CORE_REASONS = {
+    "R_NEW_PAYEE_HIGH_AMT": "İlk kez para gönderilen alıcıya müşteri ortalamasının {amount_ratio:.1f} katı tutar",
+    "R_NEW_DEVICE_HIGH_AMT": "Yeni cihazdan müşteri ortalamasının {amount_ratio:.1f} katı tutar",
+    "R_ATO_FAST_LOGIN": "Yeni cihazda oturum açıldıktan {login_to_transfer_s:.0f} sn sonra transfer",
+    "R_ATO_TAKEOVER": "Yeni cihaz, anonim/yabancı ağ ve ortalamanın {amount_ratio:.1f} katı tutar: hesap ele geçirme örüntüsü",
+    "R_ANON_IP": "IP adresi bilinen bir VPN/Tor aralığında",
+    "R_IP_MISMATCH": "IP ülkesi işlem ülkesiyle uyuşmuyor",
+    "R_HIGH_RISK_COUNTRY": "Yüksek riskli yargı bölgesiyle işlem",
+    "R_FOREIGN_NEW_DEVICE": "Yurt dışından ve tanınmayan bir cihazdan işlem",
+    "R_VELOCITY_BURST": "Son 1 saatte {cnt_1h:.0f} işlem (ani hız artışı)",
+    "R_DRAIN_PATTERN": "1 saat içinde {cnt_1h:.0f} önceki transferin ardından yeni alıcıya yüksek tutar (hesap boşaltma)",
+    "R_NIGHT_UNUSUAL": "Müşteri için olağandışı gece saatinde yüksek tutarlı işlem",
+    "R_EXTREME_AMOUNT": "Tutar müşterinin olağan dağılımının {amount_zscore:.1f} standart sapma üzerinde",
+    "R_STRUCTURING": "24 saatte raporlama eşiğinin hemen altında {near_threshold_cnt_24h:.0f} işlem (parçalama)",
+    "R_CARD_TESTING": "Son 1 saatte {cnt_1h:.0f} küçük tutarlı işlem (kart testi örüntüsü)",
+    "R_CARD_TEST_PROBE": "Yeni cihazdan oturum açıldıktan {login_to_transfer_s:.0f} sn sonra küçük tutarlı ödeme (kart testi sondası)",
+    "R_URGENT_PURPOSE": "Açıklamada aciliyet/sosyal mühendislik ifadesi",
+    "R_REMOTE_ACCESS": "Transfer sırasında uzaktan erişim aracı aktif",
+    "R_ACTIVE_CALL_NEW_PAYEE": "Aktif telefon görüşmesi sırasında yeni alıcıya transfer",
+    "R_APP_SCAM_PATTERN": "Yeni alıcıya ortalamanın {amount_ratio:.1f} katı tutar ve sosyal mühendislik sinyali (APP örüntüsü)",
+    "R_EMULATOR_ROOT": "Emülatör veya root/jailbreak cihaz tespit edildi",
+    "R_BOT_TYPING": "Yazma ritmi müşteri profilinden {typing_deviation:.1f} standart sapma farklı",
+    "R_SHARED_DEVICE": "Cihaz 7 günde {device_customers_7d:.0f} farklı müşteri tarafından kullanıldı",
+    "R_PAYEE_FAN_IN": "Alıcıya 24 saatte {payee_fan_in_24h:.0f} farklı müşteriden para gönderildi (toplama hesabı)",
+    "R_VULNERABLE_NEW_PAYEE_HIGH": "Yaşlı/kırılgan müşteriden yeni alıcıya ortalamanın {amount_ratio:.1f} katı tutar",
+    "R_CHANNEL_UNKNOWN": "Müşterinin daha önce kullanmadığı kanal",
+    "R_MULE_PASS_THROUGH": "Son 30 dakikada {graph_fan_in_30m:.0f} farklı kaynaktan gelen para aktarılıyor (fan-in → fan-out)",
+    "R_KNOWN_MULE_PAYEE": "Alıcı hesap doğrulanmış fraud ağında",
+    "R_LAYERING_CYCLE": "Para döngüsü tespit edildi (katmanlama)",
+    "R_COP_MISMATCH_NEW_PAYEE": "Alıcı adı IBAN sahibinin adıyla eşleşmiyor (CoP) — yeni alıcıya ortalamanın {amount_ratio:.1f} katı",
+    "R_YOUNG_PAYEE_HIGH": "Alıcı hesap {payee_account_age_d:.0f} gün önce açılmış; tutar ortalamanın {amount_ratio:.1f} katı",
+    "R_CONSORTIUM_HIT": "Alıcı/cihaz konsorsiyum ortak kara listesinde (başka bankada fraud)",
+}
+
+
 def core_rules() -> list[Rule]:
-    return [Rule(i, w, s, "", h, v, tuple(t.split())) for i, w, s, h, v, t in CORE_RULES]
+    return [Rule(i, w, s, CORE_REASONS[i], h, v, tuple(t.split())) for i, w, s, h, v, t in CORE_RULES]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,21 @@ ORACLES["f11_all_core_rules"] = (
     + " ".join(f"WHEN {c} THEN '{r.action_hint}'" for a in ("BLOCK", "HOLD", "STEP_UP") for r, c in _RULES if r.action_hint == a)
     + " ELSE '' END AS rule_hint FROM x"
 )
+
+
+def f16_reason_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reason texts of all core rules that hold, strongest first, with their numbers put in."""
+    return rl.evaluate(made_up(event_tx(spark, sf_dir)), rl.core_rules()).select("tx_id", F.array_join(F.transform("rule_hits", lambda h: h["text"]), " | ").alias("reasons"))
+
+
+def _text_sql(source: str) -> str:
+    parts = []
+    for literal, name, spec, _ in string.Formatter().parse(source):
+        parts.append("'" + literal.replace("'", "''") + "'")
+        if name:
+            parts.append(f"replace(printf('%{spec}', {name}), '.', ',')")
+    return " || ".join(parts)
+
+
+QUERIES["f16_reason_texts"] = f16_reason_texts
+ORACLES["f16_reason_texts"] = f"WITH {EVENT_TX}, {_MADE} SELECT tx_id, concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} THEN {_text_sql(r.reason)} END" for r, c in _ORDER) + ") AS reasons FROM x"

@@ -89,6 +89,18 @@ def d12_ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.longest_prefix(e, ranges).select("tx_id", "ip", "country", F.coalesce("vpn", F.lit(False)).alias("vpn"))
 
 
+#: The same for IPv6, with addresses in several forms of writing, and IPv4 ones between them.
+RANGES_6 = [("2001:db8::/32", "AA"), ("2001:DB8:0003::/48", "BB"), ("2001:db8:3:0:8000::/65", "CC"), ("2001:db8:5::/47", "DD"), ("2001:db8:2::7/128", "EE"), ("10.0.0.0/8", "FF")]
+_IP6_SQL = "CASE event_id % 5 WHEN 0 THEN '2001:db8:' || (event_id % 7) || '::' || (event_id % 9) WHEN 1 THEN '2001:0DB8:000' || (event_id % 7) || ':0:8000:0:0:' || (event_id % 9) WHEN 2 THEN '2001:db9::' || (event_id % 9) WHEN 3 THEN '10.1.' || (event_id % 7) || '.1' ELSE '::1::2' END"
+
+
+@query(f"""WITH e AS (SELECT event_id AS tx_id, event_id % 5 AS kind, event_id % 7 AS net, event_id % 9 AS last, {_IP6_SQL} AS ip FROM events)
+SELECT tx_id, ip, CASE WHEN kind = 3 THEN 'FF' WHEN kind IN (2, 4) THEN NULL WHEN net = 3 THEN CASE kind WHEN 1 THEN 'CC' ELSE 'BB' END WHEN net IN (4, 5) THEN 'DD' WHEN kind = 0 AND net = 2 AND last = 7 THEN 'EE' ELSE 'AA' END AS country FROM e""")
+def d12_ipv6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("tx_id"), F.expr(_IP6_SQL).alias("ip"))
+    return mt.longest_prefix(e, mt.cidr_ranges(spark.createDataFrame(RANGES_6, "cidr string, country string"))).select("tx_id", "ip", "country")
+
+
 KEYWORDS = {"error": 0.5, "queue": 0.25, "the": 0.1, "licens": 0.4, "ung": 0.2}
 
 
@@ -141,6 +153,14 @@ def d17_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.screen(q, r)
 
 
+@query()
+def d18_both_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and beneficiaries of payments that are made from names of parts."""
+    q, r = _names(spark, sf_dir)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("q_id"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).alias("beneficiary_name"), F.when(F.col("p_partkey") % 5 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("beneficiary_id"))
+    return mt.screen_payments(q.join(p, "q_id").select(F.col("q_id").alias("tx_id"), F.col("name").alias("customer_name"), "birth_year", "country", "beneficiary_name", "beneficiary_id"), r)
+
+
 @query(f"WITH p AS ({ORACLES['d16_ngram_blocking']}) SELECT q_id, rec_id, round(jaro_winkler_similarity(a, b), 6) AS jw FROM p JOIN (SELECT p_partkey AS q_id, {_ASKED} AS a FROM part) USING (q_id) JOIN (SELECT min(p_partkey) AS rec_id, p_name AS b FROM part GROUP BY p_name) USING (rec_id)")
 def m06_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity function on all blocked pairs; each pair of distinct names is scored once."""
@@ -151,7 +171,11 @@ def m06_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.join(scored, ["a", "b"]).select("q_id", "rec_id", "jw")
 
 
-@query()
+@query(r"""WITH c AS (SELECT c_custkey AS q_id, CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || 'x' ELSE 'Ayşe Yılmaz' END AS asked, CASE WHEN c_custkey % 10 <> 0 THEN c_name END AS registered FROM customer),
+f AS (SELECT *, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(asked)), 'ı', 'i'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(registered), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM c),
+s AS (SELECT *, CASE WHEN registered IS NULL THEN 0 ELSE round(greatest(jaro_winkler_similarity(a, b), CASE WHEN q_id % 3 = 2 THEN 0 ELSE 2 * length(b) / (length(a) + length(b)) END), 4) END AS similarity FROM f),
+r AS (SELECT *, CASE WHEN registered IS NULL THEN 'UNKNOWN' WHEN a = b OR similarity >= 0.97 THEN 'EXACT' WHEN similarity >= 0.85 THEN 'CLOSE' ELSE 'NO_MATCH' END AS result FROM s)
+SELECT q_id, result, similarity::DOUBLE AS similarity, CASE WHEN result IN ('CLOSE', 'NO_MATCH') THEN registered[1] || repeat('*', length(registered) - 1) END AS registered_name_masked FROM r""")
 def d19_confirmation_of_payee(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     registry = c.select(F.concat(F.lit("TR "), F.col("c_custkey")).alias("iban"), F.col("c_name").alias("name"))
@@ -210,7 +234,14 @@ def m10_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", tx.luhn_valid(F.col("pan")).alias("luhn"), digits.alias("check_digits"), tx.iban_valid(F.concat(F.lit("TR"), digits, F.col("bban"))).alias("iban"))
 
 
-@query()
+def _redaction_sql() -> str:
+    x = "text"
+    for kind, pattern in tx.REDACTIONS:
+        x = f"regexp_replace({x}, '{pattern}', '[{kind}]', 'g')"
+    return f"SELECT doc_id, {x} AS text FROM documents"
+
+
+@query(_redaction_sql())
 def m13_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.redact(F.col("text")).alias("text"))
 

@@ -148,6 +148,13 @@ def j33_feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.feature_ablation(split.where("part = 'train'"), split.where("part = 'test'"), list(COLUMNS), groups, pr.boosted(rounds=5, depth=3))
 
 
+@query
+def j36_learned_only_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned scores alone on the last part of all events: boosted trees, anomaly and both stacked, told with intervals."""
+    x = rows(spark, sf_dir).withColumn("amount", F.col("amount_try").cast("double"))
+    return pr.learned_only_protocol(pr.learned_layers(x, list(COLUMNS), ["us", "tx_id"], trees=5, depth=3), ["us", "tx_id"])
+
+
 def _feedback(decisions: DataFrame) -> DataFrame:
     """Of decisions other than ALLOW two in three hear of their outcome, up to ten days later: a failed event was fraud."""
     k = F.col("tx_id")

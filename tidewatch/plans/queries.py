@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis, documents, evaluation, features, full, graphs, joins, learned, learning, records, signals
+from . import advice, analysis, documents, evaluation, features, full, graphs, joins, learned, learning, records, signals
 
-PARTS = [features, joins, graphs, analysis, learning, learned, records, signals, evaluation, full, documents]
+PARTS = [features, joins, graphs, analysis, learning, learned, records, signals, evaluation, full, documents, advice]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
 
