@@ -29,8 +29,8 @@ Nur Sibel""".split()
 AMBIGUOUS = ("can", "deniz", "nur", "gul", "sultan", "ece", "ay", "umut")
 NOT_SURNAMES = ("ile", "ve", "veya", "icin", "için", "bey", "hanim", "hanım", "adina", "adına", "de", "da", "ki", "mi", "gibi")
 
-#: Letters that fold to one, by the plain letter.
-_VARIANTS = {"i": "iıİIîï", "s": "sSşŞ", "g": "gGğĞ", "c": "cCçÇ", "o": "oOöÖô", "u": "uUüÜû", "a": "aAâ", "e": "eEé"}
+#: Letters that fold to one, by the plain letter: in both cases, with all marks.
+_VARIANTS = {p: p + p.upper() + "".join(m + m.upper() for m, q in zip(tx.MARKED, tx.PLAIN, strict=True) if q == p) + ("ıİ" if p == "i" else "") for p in sorted({*tx.PLAIN, "i"})}
 _LETTER = "A-Za-zÇĞİÖŞÜçğıöşü"
 
 
@@ -67,7 +67,7 @@ def _name_pattern(name: Column) -> Column:
     out = F.regexp_replace(tx.fold(F.trim(name)), "[^\\p{L}\\p{N} ]", ".")
     for plain, variants in _VARIANTS.items():
         out = F.regexp_replace(out, plain, f"[{variants}]")
-    return F.concat(F.lit("(?iu)(?<![\\w])"), F.regexp_replace(out, " +", "\\\\s+"), F.lit("(?![\\w])"))
+    return F.concat(F.lit("(?iU)(?<![\\w])"), F.regexp_replace(out, " +", "\\\\s+"), F.lit("(?![\\w])"))
 
 
 def _valid(kind: str | None, x: Column) -> Column:
@@ -81,15 +81,17 @@ def _checked(found: Column, check: str | None) -> Column:
     return F.filter(found, lambda x: _valid(check, x)) if check else found
 
 
-def _replaced(df: DataFrame, kind: str, found: Column) -> DataFrame:
-    """Replaces the found originals by numbered placeholders of a kind; equal originals share one."""
+def _replaced(df: DataFrame, kind: str, found: Column, *, words: bool = False) -> DataFrame:
+    """Replaces the found originals by numbered placeholders of a kind; equal originals share one. With ``words`` only where they are no part of a word."""
     df = df.withColumn("_found", F.array_except(F.array_distinct(found), F.transform("tokens", lambda t: t["original"])))
     have = F.size(F.filter("tokens", lambda t: t["kind"] == kind))
     fresh = F.transform("_found", lambda o, i: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}_"), (have + i + 1).cast("string"), F.when(F.lit(kind) == "IBAN", F.concat(F.lit("_…"), F.right(F.regexp_replace(o, "[\\s\\-.]", ""), F.lit(4)))).otherwise("")).alias("token"), o.alias("original")))
     df = df.withColumn("_fresh", fresh)
     # longer originals first, so that none is cut out of another
     order = F.transform(F.array_sort(F.transform("_fresh", lambda t: F.struct((-F.length(t["original"])).alias("n"), t.alias("t")))), lambda x: x["t"])
-    text = F.aggregate(order, F.col("redacted"), lambda a, t: F.replace(a, t["original"], t["token"]))
+    quoted = lambda x: F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?!\\w)"))
+    put = lambda a, t: F.regexp_replace(a, quoted(t["original"]), t["token"]) if words else F.replace(a, t["original"], t["token"])
+    text = F.aggregate(order, F.col("redacted"), put)
     return df.withColumn("redacted", text).withColumn("tokens", F.concat("tokens", "_fresh")).drop("_found", "_fresh")
 
 
@@ -108,7 +110,7 @@ def pseudonymised(df: DataFrame, text: str = "text", names: str | None = None) -
     if names:
         known = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.length(F.trim(n)) >= 3)
         spots = F.flatten(F.transform(known, lambda n: F.regexp_extract_all("redacted", _name_pattern(n), F.lit(0))))
-        df = _replaced(df, "MUSTERI", F.coalesce(spots, F.array().cast("array<string>")))
+        df = _replaced(df, "MUSTERI", F.coalesce(spots, F.array().cast("array<string>")), words=True)
     people = F.coalesce(F.regexp_extract_all("redacted", F.lit(person_pattern()), F.lit(0)), F.array().cast("array<string>"))
     return _replaced(df, "KISI", people)
 

@@ -115,5 +115,5 @@ def m14_known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.regexp_extract("text", "^\\p{L}{3,} +\\p{L}{3,}(?![\\p{L}\\p{N}_])", 0).alias("name"))
     d = d.withColumn("text", F.concat(F.upper("name"), F.lit(" "), "text"))
     out = dc.pseudonymised(d.withColumn("names", F.array("name")), names="names")
-    left = F.coalesce((F.col("name") != "") & F.lower("redacted").contains(F.lower("name")), F.lit(False))
+    left = F.coalesce((F.col("name") != "") & F.regexp_like("redacted", F.concat(F.lit("(?iU)(?<!\\w)"), "name", F.lit("(?!\\w)"))), F.lit(False))
     return out.select("doc_id", (dc.restored(F.col("redacted"), F.col("tokens")) == F.col("text")).alias("came_back"), left.alias("name_left"))
