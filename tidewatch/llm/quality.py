@@ -213,6 +213,16 @@ def resample(documents: DataFrame, labels: DataFrame, *, seed: int = 29, k: int
     return scored.where(F.col("key") >= last)
 
 
+def sampled(documents: DataFrame, labels: DataFrame, share: float, *, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """All documents that may be drawn, as :func:`resample` returns them, with ``drawn``: whether Gumbel top-k takes
+    them into a sample of ``share`` of their number (rounded down; rows that tie at the last key are all drawn).
+    """
+    scored = resample(documents, labels, keep=keep, **options)
+    k = int(scored.count() * share)
+    last = select.kth(scored, "key", k) if k else None
+    return scored.withColumn("drawn", F.col("key") >= F.lit(last) if last is not None else F.lit(False))
+
+
 def accepted(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose id and text are in the sample."""
     xx, did = (free_name(documents, c) for c in ("_xx", "_did"))

@@ -50,8 +50,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+#: What importance resampling draws of the documents that are not rejected.
+DRAWN_SHARE = 0.5
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DRAWN_SHARE)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
