@@ -3,10 +3,13 @@
 import ipaddress
 import math
 import random
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.conftest import ROOT
 from tidewatch.operators import documents as dc
 from tidewatch.operators import matching as mt
 from tidewatch.operators import models as md
@@ -16,6 +19,11 @@ from tidewatch.operators import rules as rl
 from tidewatch.operators import vectors as vs
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=60).returncode == 0
+
+
 def test_ranges_of_both_kinds_equal_the_standard_library(spark):
     rng = random.Random(5)
     six = [ipaddress.IPv6Address((0x20010DB8 << 96) | rng.getrandbits(rng.choice((8, 40, 96)))) for _ in range(60)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as dc
@@ -69,13 +69,14 @@ def profile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vs.upserted(materialise(vs.upserted(None, entries.where("cast(cust as long) % 2 = 1"), replace=False), "vectors"), later, replace=False)
 
 
-_LENGTH = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6)
+def _length() -> Column:
+    return F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6)
 
 
 @query(f"WITH {_CUSTOMERS_SQL} SELECT id, 'profile' AS kind, document || CASE WHEN cust % 2 = 1 THEN '' ELSE ' Yeni.' END AS document, 1.0::DOUBLE AS length FROM b")
 def q09_behaviour_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after two seedings; ids that it held before are passed over."""
-    return profile_store(spark, sf_dir).select("id", "kind", "document", _LENGTH.alias("length"))
+    return profile_store(spark, sf_dir).select("id", "kind", "document", _length().alias("length"))
 
 
 @query("""WITH c AS (SELECT 'case:' || o_orderkey AS id, o_custkey::VARCHAR AS cust, o_orderkey % 3 AS k, 'Case of ' || o_orderpriority || ' for ' || o_custkey AS document FROM orders WHERE o_orderstatus = 'F')
@@ -86,7 +87,7 @@ def q10_case_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("cust"), said.alias("document"))
     first = materialise(vs.upserted(None, vs.case_entries(c), replace=True), "cases")
     again = c.where("case_id % 3 = 0").withColumn("document", F.concat("document", F.lit(" closed again")))
-    return vs.upserted(first, vs.case_entries(again), replace=True).select("id", "kind", "cust", "document", _LENGTH.alias("length"))
+    return vs.upserted(first, vs.case_entries(again), replace=True).select("id", "kind", "cust", "document", _length().alias("length"))
 
 
 def _said(t: DataFrame) -> DataFrame:
