@@ -43,6 +43,18 @@ def test_filters_equal_a_plain_bit_array(spark):
     assert sum((b % 2**64) << (64 * w) for w, b in enumerate(row.bits)) == plain
 
 
+def test_filters_are_looked_up_block_by_block(spark):
+    """No row of the lookup holds a whole filter, and filters of several sizes are asked side by side."""
+    ids = spark.range(40_000).select(F.col("id").alias("tx_id"))
+    large, small = kn.bloom_filters(ids, "tx_id"), kn.bloom_filters(spark.range(50_000, 50_010).select(F.col("id").alias("tx_id")), "tx_id", F.lit("few"))
+    words = len(large.first().bits)
+    assert words > 20 * kn.BLOCK
+    asked = kn.with_maybe(spark.range(60_000).select(F.col("id").alias("tx_id")), large.unionByName(small).localCheckpoint(), "tx_id")
+    assert asked.where("maybe and (tx_id < 40000 or tx_id between 50000 and 50009)").count() == 40_010
+    assert asked.where("maybe").count() < 40_010 + 100
+    assert "NestedLoop" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_arrivals_are_new_duplicate_or_conflict_and_few_are_looked_up(spark, monkeypatch):
     known = spark.range(5000).select(F.col("id").alias("tx_id"), F.lit("d").alias("digest"))
     arrivals = spark.range(4900, 9000).select(F.col("id").alias("tx_id"), F.when(F.col("id") % 2 == 0, "d").otherwise("e").alias("digest")).unionByName(spark.createDataFrame([(None, "d")], "tx_id long, digest string"))

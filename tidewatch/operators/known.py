@@ -9,6 +9,7 @@ filter holds is new for sure and needs no join; only the others are looked up.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ ERROR_RATE, MAX_BITS = 0.001, 1 << 29
 #: All filters together are sent to every task only up to this size.
 MAX_BROADCAST = 256 << 20
 FILTERS = "slice string, n long, hashes int, bits array<bigint>"
+#: Words of a block: all bits of an identifier lie in one block, so that a lookup reads one block a filter, not a whole filter.
+BLOCK = 128
 
 
 def shape(n: int, error_rate: float = ERROR_RATE) -> tuple[int, int]:
@@ -27,8 +30,26 @@ def shape(n: int, error_rate: float = ERROR_RATE) -> tuple[int, int]:
     return words, max(1, round(words * 64 / max(n, 1) * math.log(2))) if words * 64 / max(n, 1) < 40 else 10
 
 
-def _position(key: Column, i: int, bits: Column | int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(i), key.cast("string")), F.lit(bits) if isinstance(bits, int) else bits)
+def _block(key: Column, words: int) -> Column:
+    """The block of an identifier in a filter of so many words (a power of two)."""
+    return F.pmod(F.xxhash64(F.lit(-1), key.cast("string")), F.lit(max(1, words // BLOCK))).cast("int")
+
+
+def _positions(key: Column, words: int, hashes: int) -> Column:
+    """The bits of an identifier, counted from the first one of its block."""
+    return F.array(*(F.pmod(F.xxhash64(F.lit(i), key.cast("string")), F.lit(min(words, BLOCK) * 64)).cast("int") for i in range(hashes)))
+
+
+def _mask(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(position, F.lit(64)).cast("int"))
+
+
+def _part(size: int) -> Callable[[Column], Column]:
+    return lambda b: F.slice("bits", b * size + 1, F.lit(size))
+
+
+def _all_set(positions: str) -> Callable[[Column], Column]:
+    return lambda x: F.forall(positions, lambda p: F.get(x, F.shiftright(p, 6)).bitwiseAND(_mask(p)) != 0)
 
 
 def bloom_filters(ids: DataFrame, key: str, slice_: Column | None = None, error_rate: float = ERROR_RATE, words: int | None = None) -> DataFrame:
@@ -46,11 +67,16 @@ def bloom_filters(ids: DataFrame, key: str, slice_: Column | None = None, error_
     words = words or planned
     if words * 64 > MAX_BITS:
         raise ValueError(f"a slice of {most} identifiers needs more than {MAX_BITS} bits: cut slices finer")
-    at = d.select("slice", F.explode(F.array(*(_position(F.col("_k"), i, words * 64) for i in range(hashes)))).alias("p"))
-    masks = at.groupBy("slice", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("m"))
+    size = min(words, BLOCK)
+    at = d.select("slice", _block(F.col("_k"), words).alias("b"), F.explode(_positions(F.col("_k"), words, hashes)).alias("p"))
+    masks = at.groupBy("slice", "b", F.shiftright("p", 6).alias("w")).agg(F.bit_or(_mask(F.col("p"))).alias("m"))
+    # a block is put in order by itself, and then the blocks of a slice; neither is looked up word by word
+    none = F.lit(0).cast("long")
     full = F.map_from_entries(F.collect_list(F.struct("w", "m")))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(words - 1).cast("long")), lambda w: F.coalesce(F.element_at("f", w), F.lit(0).cast("long")))
-    packed = masks.groupBy("slice").agg(full.alias("f")).select("slice", dense.alias("bits"))
+    blocks = masks.groupBy("slice", "b").agg(full.alias("f")).select("slice", "b", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda w: F.coalesce(F.try_element_at("f", w), none)).alias("x"))
+    every = sizes.select("slice", F.explode(F.sequence(F.lit(0), F.lit(words // size - 1))).alias("b")).join(blocks, ["slice", "b"], "left")
+    every = every.select("slice", "b", F.coalesce("x", F.array_repeat(none, size)).alias("x"))
+    packed = every.groupBy("slice").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("b", "x"))), lambda e: e["x"])).alias("bits"))
     return packed.join(sizes, "slice").select("slice", "n", F.lit(hashes).alias("hashes"), "bits")
 
 
@@ -69,29 +95,24 @@ def united(*filters: DataFrame) -> DataFrame:
 def with_maybe(arrivals: DataFrame, filters: DataFrame, key: str) -> DataFrame:
     """Adds ``maybe``: whether some filter holds the identifier. False is certain; a null identifier is held by none.
 
-    Filters go to every task, as one array of them, if they are small enough
-    together; else every arrival is a maybe, and the exact check decides alone.
+    Filters go to every task, cut into blocks, if they are small enough together;
+    an arrival meets one block of each. Else every arrival is a maybe, and the
+    exact check decides alone.
     """
-    n, words = filters.agg(F.count("*"), F.coalesce(F.sum(F.size("bits")), F.lit(0))).first()
-    if not n:
+    shapes = filters.groupBy(F.size("bits").alias("words"), "hashes").agg(F.count("*").alias("n")).collect()  # powers of two
+    if not shapes:
         return arrivals.withColumn("maybe", F.lit(False))
-    if words * 8 > MAX_BROADCAST:
+    if sum(r["words"] * r["n"] for r in shapes) * 8 > MAX_BROADCAST:
         return arrivals.withColumn("maybe", F.col(key).isNotNull())
-    k, one = F.col(key).cast("string"), F.lit(1).cast("long")
-    hashes = filters.agg(F.max("hashes")).first()[0]
-
-    def holds(f: Column) -> Column:
-        bits = F.size(f["bits"]).cast("long") * 64
-        out = F.lit(True)
-        for i in range(hashes):
-            p = _position(k, i, bits)
-            word = F.get(f["bits"], F.shiftright(p, 6).cast("int"))
-            out = out & ((F.lit(i) >= f["hashes"]) | (word.bitwiseAND(F.call_function("shiftleft", one, F.pmod(p, F.lit(64)).cast("int"))) != 0))
-        return out
-
-    every = filters.agg(F.collect_list(F.struct("hashes", "bits")).alias("_filters"))
-    j = arrivals.crossJoin(F.broadcast(every))
-    return j.withColumn("maybe", F.col(key).isNotNull() & F.exists("_filters", holds)).drop("_filters")
+    out, held = arrivals, F.lit(False)
+    for i, (words, hashes, _) in enumerate(shapes):
+        size = min(words, BLOCK)
+        cut = F.transform(F.sequence(F.lit(0), F.lit(words // size - 1)), _part(size))
+        like = filters.where((F.size("bits") == words) & (F.col("hashes") == hashes))
+        blocks = like.select(F.posexplode(cut).alias("_b", "x")).groupBy("_b").agg(F.collect_list("x").alias(f"_x{i}"))
+        out = out.withColumn("_b", _block(F.col(key), words)).withColumn(f"_p{i}", _positions(F.col(key), words, hashes)).join(F.broadcast(blocks), "_b", "left").drop("_b")
+        held = held | F.coalesce(F.exists(f"_x{i}", _all_set(f"_p{i}")), F.lit(False))
+    return out.withColumn("maybe", F.col(key).isNotNull() & held).select(*(arrivals[c] for c in arrivals.columns), "maybe")
 
 
 def fates(arrivals: DataFrame, known: DataFrame, filters: DataFrame, key: str = "tx_id") -> DataFrame:
