@@ -309,3 +309,16 @@ def test_texts_with_placeholders_and_digits_beside_names_come_back(spark):
     rows = {r.id: r for r in out.collect()}
     assert [rows[i].back for i in range(len(texts))] == texts
     assert len(rows[1].tokens) == 20
+
+
+def test_texts_are_embedded_without_a_shuffle(spark):
+    from tidewatch.operators import documents as dc
+
+    d = spark.createDataFrame([(1, "Red red ring, ÇAY!"), (2, None), (3, ""), (4, "a b c d e f g a")], "id int, text string")
+    out = dc.with_embedding(d, "text")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.embedding for r in out.collect()}
+    assert got == {r.id: r.embedding for r in dc.hash_embedding(d, "id", "text").collect()}
+    assert [round(sum(x * x for x in got[i]), 9) for i in (1, 2, 3, 4)] == [1, 0, 0, 1]
+    two = spark.createDataFrame([(1, "red ring"), (1, "red çay")], "id int, text string")
+    assert dc.hash_embedding(two, "id", "text").first().embedding == got[1]

@@ -32,7 +32,7 @@ def upserted(store: DataFrame | None, entries: DataFrame, *, replace: bool) -> D
     fresh = entries.groupBy("id").agg(F.min_by(F.struct("kind", "cust", "document"), F.struct(F.col("document").isNull(), "document")).alias("e")).select("id", "e.*")
     if store is not None and not replace:
         fresh = fresh.join(store.select("id"), "id", "left_anti")
-    embedded = fresh.join(dc.hash_embedding(fresh.select("id", F.coalesce("document", F.lit("")).alias("document")), "id", "document"), "id")
+    embedded = dc.with_embedding(fresh, "document")
     if store is None:
         return embedded.select("id", "kind", "cust", "document", "embedding")
     kept = store.join(fresh.select("id"), "id", "left_anti") if replace else store
@@ -42,18 +42,14 @@ def upserted(store: DataFrame | None, entries: DataFrame, *, replace: bool) -> D
 def behaviour_context(store: DataFrame, payments: DataFrame) -> DataFrame:
     """Each payment (tx_id, cust, document) with its own customer's profile: context, and distance (1 - cosine, to 6 digits).
 
-    Nulls where the customer has no profile. Equal documents are embedded once.
-    The join is by customer, so no payment meets another's profile; without words there is no
+    Nulls where the customer has no profile. The join is by customer, so no payment meets
+    another's profile, and payments are embedded where they meet it; without words there is no
     cosine, and the distance is 1.
     """
-    p = payments.withColumn("_d", F.coalesce("document", F.lit("")))
-    asked = dc.hash_embedding(p.select("_d").distinct(), "_d", "_d").withColumnRenamed("embedding", "_e")
     own = store.where("kind = 'profile'").select(F.col("cust").alias("_cust"), F.col("document").alias("context"), F.col("embedding").alias("_p"))
-    pairs = p.select(F.col("cust").cast("string").alias("_cust"), "_d").distinct().join(own, "_cust").join(asked, "_d")
+    j = payments.join(own, payments["cust"].cast("string") == own["_cust"], "left").drop("_cust")
     dot = F.aggregate(F.zip_with("_p", "_e", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    told = pairs.select(F.col("_cust"), F.col("_d").alias("_said"), "context", F.round(1 - dot, 6).alias("distance"))
-    j = p.join(told, (p["cust"].cast("string") == told["_cust"]) & (p["_d"] == told["_said"]), "left")
-    return j.select(*(p[c] for c in payments.columns), "context", "distance")
+    return dc.with_embedding(j, "document", "_e").select(*payments.columns, "context", F.round(1 - dot, 6).alias("distance"))
 
 
 def explained(decisions: DataFrame, store: DataFrame, payments: DataFrame) -> DataFrame:
