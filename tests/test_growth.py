@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import frames as fr
 from tidewatch.operators import signals as sg
+from tidewatch.plans import full
 
 
 # --- communities ------------------------------------------------------------------------------
@@ -77,3 +79,29 @@ def test_louvain_rounds_equal_a_restatement_in_few_jobs(spark):
     assert got == want and 1 < len(set(got.values())) < 60
     # a round sends every link once, which gives the moves and the modularity
     assert jobs <= 17 * rounds
+
+
+# --- the full pass ----------------------------------------------------------------------------
+def test_full_pass_scores_payments_once(spark, sf):
+    seen = spark.sparkContext.accumulator(0)
+
+    def scored(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = full.payments(spark, sf).where("tx_id < 60").coalesce(1)
+    n = t.count()
+    x = t.withColumn("ml_score", F.lit(0.3)).drop("session", "avg_amount", "payee_opened")
+    x = x.mapInArrow(scored, x.schema).join(t.select("tx_id", "session", "avg_amount", "payee_opened"), "tx_id")
+    out = full.sc.full_pass(x, full.surroundings(spark, sf)).select("tx_id", "decision")
+    assert out.count() == n and seen.value == n
+
+
+def test_histories_of_ints_are_sums_of_longs(spark):
+    df = spark.createDataFrame([(i, i * fr.HOUR, 1, 0.1 * i) for i in range(50)], "tx_id long, us long, cust long, amount double")
+    out = fr.sums_before(df, ["cust"], {"n": (3 * fr.HOUR, F.lit(1)), "s": (3 * fr.HOUR, F.col("amount"))})
+    assert dict(out.dtypes)["n"] == "bigint" and dict(out.dtypes)["s"].startswith("decimal")
+    for r in out.collect():
+        before = range(max(0, r.tx_id - 2), r.tx_id)
+        assert r.n == len(before) and abs(float(r.s) - sum(0.1 * i for i in before)) < 1e-9

@@ -54,7 +54,7 @@ def query(f):
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx_id, us, the model's features, what the online signal reads, trusted, and y: the event is an error."""
-    t = payments(spark, sf_dir)
+    t = materialise(payments(spark, sf_dir), "payments")
     plain = [c for c in (*COLUMNS, "distinct_payees_24h") if c not in _OF_PROFILE]
     x = ft.features(t, list(dict.fromkeys(plain)), keep=("tx_id", "us", "trusted", "channel")).join(pf.profile_features(t).select("tx_id", *_OF_PROFILE), "tx_id")
     x = x.join(ft.session_features(t).select("tx_id", "login_to_transfer_s"), "tx_id")
