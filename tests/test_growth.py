@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tidewatch.operators import frames as fr
+from tidewatch.operators import graph as gr
 from tidewatch.operators import signals as sg
 from tidewatch.plans import full
 
@@ -105,3 +106,37 @@ def test_histories_of_ints_are_sums_of_longs(spark):
     for r in out.collect():
         before = range(max(0, r.tx_id - 2), r.tx_id)
         assert r.n == len(before) and abs(float(r.s) - sum(0.1 * i for i in before)) < 1e-9
+
+
+# --- graphs --------------------------------------------------------------------------------------
+def _counted(spark, df):
+    """The rows of ``df``, and how many of them have been made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), made
+
+
+def test_graph_rounds_read_the_edges_once(spark):
+    r = random.Random(1)
+    pairs = [(r.randrange(20), r.randrange(20)) for _ in range(60)]
+    edges, made = _counted(spark, spark.createDataFrame(pairs, "src long, dst long").coalesce(1))
+    nodes = spark.range(20).select(F.col("id").alias("node"), (F.col("id") % 2).alias("step"))
+    assert sg.step_graph(nodes, edges, 3).count() == 20 and made.value == 60
+    edges, made = _counted(spark, spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double").coalesce(1))
+    got = {x["node"]: x["rank"] for x in gr.pagerank(edges, 6).collect()}
+    assert made.value == 60
+    names = sorted({n for p in pairs for n in p})
+    rank = dict.fromkeys(names, 1 / len(names))
+    total = Counter(a for a, _ in pairs)
+    for _ in range(6):
+        lost = sum(v for n, v in rank.items() if not total[n])
+        sent = defaultdict(float)
+        for a, b in pairs:
+            sent[b] += rank[a] / total[a]
+        rank = {n: 0.15 / len(names) + 0.85 * (sent[n] + lost / len(names)) for n in names}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-12 for n in names)
