@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.scores import action_rank, logit, sigmoid
@@ -71,28 +74,174 @@ def draw(nth: Column, round_: Column, n: Column) -> Column:
     return F.pmod(F.pmod(x * 16807 + round_, F.lit(_P)), n)
 
 
-def resampled(rows: DataFrame, order: Sequence[str], rounds: int) -> DataFrame:
-    """Stratified resamples: for each round, positives and negatives drawn apart with replacement, as many as there are.
+#: Rows of a block, whose draws a task counts at once, and draws that a task makes at once.
+BLOCK, CHUNK = 2**16, 2**20
+
+
+def _draws(spark: SparkSession, n: int, rounds: int, block: int, chunk: int) -> DataFrame:
+    """_b, round, places: the draws of n rows, as places (16 bits each) in blocks of rows; see :func:`draw`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at in (i for b in batches for i in b.column(0).to_pylist()):
+            nth, r = np.arange(at // rounds * chunk, min(n, (at // rounds + 1) * chunk)), at % rounds + 1
+            x = (nth * 48271 + r * 69621 + 12345) % _P
+            x = x * x % _P
+            drawn = np.sort((x * 16807 + r) % _P % n)
+            hit = np.unique(drawn // block)
+            ends = np.searchsorted(drawn, np.append(hit, hit[-1] + 1) * block)
+            places = (drawn % block).astype("<u2")
+            yield pa.RecordBatch.from_pydict({"_b": hit, "round": np.full(len(hit), r), "places": pa.array([places[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())})
+
+    jobs = -(-n // chunk) * rounds
+    parts = min(jobs, max(spark.sparkContext.defaultParallelism, jobs // 16))
+    return spark.range(0, jobs, 1, parts).mapInArrow(run, "_b long, round long, places binary")
 
-    Returns the drawn rows with ``round`` and ``times``. The order must be
-    unique; draws are counted by row number before the rows are joined.
+
+def drawn(rows: DataFrame, order: Sequence[str], rounds: int, *, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """Stratified resamples, a row for each row: adds ``times``, how often each round draws it.
+
+    For each round, positives and negatives are drawn apart with replacement, as many as there are.
+    ``times`` holds a 32-bit number a round. The order must be unique. Draws are made in chunks and
+    go to the block of the row that they take, so rows x rounds are bytes and never rows.
     """
-    strata = []
-    for y in (0, 1):
-        own = materialise(running_sums(rows.where(F.col("y") == y), [F.col(c) for c in order], {"_i": F.lit(1)}).withColumn("_i", F.col("_i") - 1), "stratum")
-        n = own.agg(F.count("*").alias("_n"))
-        draws = own.select("_i").crossJoin(F.broadcast(n)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-        times = draws.groupBy("round", draw(F.col("_i"), F.col("round"), F.col("_n")).alias("_i")).agg(F.count("*").alias("times"))
-        strata.append(own.join(times, "_i").drop("_i"))
-    return strata[0].union(strata[1])
+    spark = rows.sparkSession
+    if not 0 < block <= BLOCK:
+        raise ValueError(f"a block has 1 to {BLOCK} rows")
+    rows = rows.where(F.col("y").isin(0, 1))
+    y = F.col("y")
+    placed = running_sums(rows, [F.col(c) for c in order], {f"_i{k}": F.when(y == k, 1).otherwise(0) for k in (0, 1)})
+    i = F.when(y == 1, F.col("_i1")).otherwise(F.col("_i0")) - 1
+    placed = placed.withColumns({"_y": y.cast("int"), "_b": F.floor(i / block).cast("long"), "_o": F.pmod(i, F.lit(block)).cast("int")}).drop("_i0", "_i1")
+    count = {r["y"]: r["n"] for r in rows.groupBy(y.cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    parts = [_draws(spark, n, rounds, block, chunk).withColumn("_y", F.lit(k)) for k, n in sorted(count.items())]
+    if not parts:
+        return rows.withColumn("times", F.lit(None).cast("binary"))
+
+    def run(own: pa.Table, draws: pa.Table) -> pa.Table:
+        counts = np.zeros((own.num_rows, rounds), "<u4")
+        taken: dict[int, list[bytes]] = {}
+        for r, p in zip(draws.column("round").to_pylist(), draws.column("places").to_pylist(), strict=True):
+            taken.setdefault(r, []).append(p)
+        for r, p in taken.items():
+            counts[:, r - 1] = np.bincount(np.frombuffer(b"".join(p), "<u2"), minlength=own.num_rows)
+        mine = counts[own.column("_o").to_numpy()]
+        return own.drop_columns(["_y", "_b", "_o"]).append_column("times", pa.array([t.tobytes() for t in mine], pa.binary()))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("times", T.BinaryType())])
+    return placed.groupBy("_y", "_b").cogroup(reduce(DataFrame.unionByName, parts).groupBy("_y", "_b")).applyInArrow(run, schema)
+
+
+def _matrix(packed: pa.Array, rounds: int | None = None) -> np.ndarray:
+    """Counts (rows, rounds) as they are packed; empty ones, which need ``rounds``, are zeros."""
+    got = packed.to_pylist()
+    rounds = rounds or len(got[0]) // 4
+    return np.frombuffer(b"".join(p or bytes(4 * rounds) for p in got), "<u4").reshape(len(got), rounds).astype(np.int64)
+
+
+def resampled(rows: DataFrame, order: Sequence[str], rounds: int) -> DataFrame:
+    """The rows of :func:`drawn`, one for each round that draws it, with ``round`` and ``times``: rows x rounds, for small tables."""
+    fields = [*rows.schema.fields, T.StructField("round", T.LongType()), T.StructField("times", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                counts = _matrix(b.column(b.num_columns - 1))
+                at, r = np.nonzero(counts)
+                kept = pa.Table.from_batches([b]).drop_columns(["times"]).take(pa.array(at))
+                yield from kept.append_column("round", pa.array(r + 1)).append_column("times", pa.array(counts[at, r])).to_batches()
+
+    return drawn(rows, order, rounds).mapInArrow(run, T.StructType(fields))
+
+
+def _steps(sample: DataFrame, score: str) -> DataFrame:
+    """s, n, pos: counts of each round by score, put together within a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s, at = np.unique(b.column(0).to_numpy(zero_copy_only=False) + 0.0, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            firsts = np.searchsorted(at[order], np.arange(len(s)))
+            counts, y = _matrix(b.column(2))[order], b.column(1).to_numpy(zero_copy_only=False)[order]
+            n, pos = np.add.reduceat(counts, firsts), np.add.reduceat(counts * y[:, None], firsts)
+            some = pos.any(axis=1)
+            yield pa.RecordBatch.from_pydict({"s": s, "n": pa.array([x.astype("<u4").tobytes() for x in n], pa.binary()), "pos": pa.array([x.astype("<u4").tobytes() if any_ else b"" for x, any_ in zip(pos, some, strict=True)], pa.binary())})
+
+    s = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    return sample.select(s.alias("s"), F.col("y").cast("long").alias("y"), "times").mapInArrow(run, "s double, n binary, pos binary")
 
 
 def average_precision_by_round(sample: DataFrame, score: str) -> DataFrame:
-    """round, ap: average precision of each resample, a step for each distinct score."""
-    g = sample.groupBy("round", F.col(score).alias("s")).agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("y")).alias("pos"))
-    w = W.partitionBy("round").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumns({"cum_n": F.sum("n").over(w), "cum_pos": F.sum("pos").over(w)})
-    return g.groupBy("round").agg((F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / F.sum("pos")).alias("ap"))
+    """round, ap: average precision of each resample (:func:`drawn`), a step for each distinct score; null without positives.
+
+    Counts are put in order by ranges of the score; a range is streamed with the counts of
+    those above it. A missing score is the lowest.
+    """
+    rows = _steps(sample, score).repartitionByRange(F.desc("s")).sortWithinPartitions(F.desc("s")).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("_range", F.shiftright("_at", 33)), "score-steps")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = b.column(0).to_numpy()
+            n = _matrix(b.column(1))
+            pos = _matrix(b.column(2), n.shape[1])
+            for r in np.unique(of):
+                here = of == r
+                yield pa.RecordBatch.from_pydict({"_range": np.full(n.shape[1], r), "round": np.arange(1, n.shape[1] + 1), "n": n[here].sum(axis=0), "pos": pos[here].sum(axis=0)})
+
+    schema = "_range long, round long, n long, pos long"
+    totals = rows.select("_range", "n", "pos").mapInArrow(sums, schema).groupBy("_range", "round").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    got = totals.toPandas().sort_values(["_range", "round"])  # ranges x rounds
+    n, pos = 0, 0
+    for r, g in got.groupby("_range"):
+        above[int(r)] = (n, pos)
+        n, pos = n + g["n"].to_numpy(), pos + g["pos"].to_numpy()
+    shared = sample.sparkSession.sparkContext.broadcast(above)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, s, n, pos, cum_n, cum_pos, ap = None, None, 0, 0, 0, 0, 0.0
+
+        def taken(n: np.ndarray, pos: np.ndarray) -> None:
+            """Steps that are whole."""
+            nonlocal cum_n, cum_pos, ap
+            up_n, up_pos = cum_n + np.cumsum(n, axis=0), cum_pos + np.cumsum(pos, axis=0)
+            ap = ap + (pos * up_pos / np.maximum(up_n, 1)).sum(axis=0)
+            cum_n, cum_pos = up_n[-1], up_pos[-1]
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"round": np.arange(1, len(ap) + 1), "ap": ap, "pos": cum_pos - shared.value[at][1]})
+
+        for b in batches:
+            ranges, scores, ns = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))
+            poss = _matrix(b.column(3), ns.shape[1])
+            for r in np.unique(ranges):
+                here = ranges == r
+                v, hn, hp = scores[here], ns[here], poss[here]
+                if at != r:
+                    if at is not None:
+                        taken(n[None], pos[None])
+                        yield told()
+                    at, s, ap = int(r), None, 0.0
+                    cum_n, cum_pos = shared.value[at]
+                same = np.equal(v[1:], v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1]))
+                firsts = np.append(0, np.flatnonzero(~same) + 1)
+                hn, hp = np.add.reduceat(hn, firsts), np.add.reduceat(hp, firsts)
+                if s is not None and (s == v[0] or (np.isnan(s) and np.isnan(v[0]))):
+                    hn[0] += n
+                    hp[0] += pos
+                elif s is not None:
+                    hn, hp = np.vstack([n[None], hn]), np.vstack([pos[None], hp])
+                if len(hn) > 1:
+                    taken(hn[:-1], hp[:-1])
+                s, n, pos = v[-1], hn[-1], hp[-1]
+        if at is not None:
+            taken(n[None], pos[None])
+            yield told()
+
+    parts = rows.repartition("_range").sortWithinPartitions("_range", "_at").select("_range", "s", "n", "pos").mapInArrow(run, "round long, ap double, pos long")
+    return parts.groupBy("round").agg(F.when(F.sum("pos") > 0, F.sum("ap") / F.sum("pos")).alias("ap"))
 
 
 def interval(df: DataFrame, value: str) -> DataFrame:
@@ -108,18 +257,31 @@ def verdict(delta: Column, low: Column, high: Column) -> Column:
 
 def paired_difference(rows: DataFrame, order: Sequence[str], better: str, base: str, rounds: int = 200) -> DataFrame:
     """Interval of the difference of two scores' average precision on the same resamples, and the verdict."""
-    sample = materialise(resampled(rows, order, rounds), "resamples")
-    a, b = average_precision_by_round(sample, better), average_precision_by_round(sample, base).withColumnRenamed("ap", "base")
-    d = a.join(b, "round").withColumn("d", F.col("ap") - F.col("base"))
+    sample = materialise(drawn(rows.select("y", *order, better, base), order, rounds), "resamples")
+    return difference(rows, better, base, *(average_precision_by_round(sample, c) for c in (better, base)))
+
+
+def difference(rows: DataFrame, better: str, base: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    """:func:`paired_difference` of two scores whose average precision by round is known."""
+    d = a.join(b.withColumnRenamed("ap", "base"), "round").withColumn("d", F.col("ap") - F.col("base"))
     whole = [mx.rank_metrics(rows.select("y", F.col(c).alias("s"))).select(F.col("average_precision").alias(f"_{i}")) for i, c in enumerate((better, base))]
     out = interval(d, "d").crossJoin(whole[0]).crossJoin(whole[1]).withColumn("delta", F.round(F.col("_0") - F.col("_1"), 4))
     return out.select("delta", "low", "high", verdict(F.col("delta"), F.col("low"), F.col("high")).alias("verdict"))
 
 
 def f1_by_round(sample: DataFrame, score: str, threshold: float) -> DataFrame:
-    """round, f1 at a fixed threshold."""
-    hit = F.col(score) >= threshold
-    g = sample.groupBy("round").agg(F.sum(F.when(hit & (F.col("y") == 1), F.col("times")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("times")).otherwise(0)).alias("p"), F.sum(F.col("times") * F.col("y")).alias("pos"))
+    """round, f1 of each resample (:func:`drawn`) at a fixed threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                hit, y = (b.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (0, 1))
+                counts = _matrix(b.column(2))
+                yield pa.RecordBatch.from_pydict({"round": np.arange(1, counts.shape[1] + 1), "tp": counts[hit & y].sum(axis=0), "p": counts[hit].sum(axis=0), "pos": counts[y].sum(axis=0)})
+
+    hit = F.coalesce(F.col(score) >= threshold, F.lit(False))
+    parts = sample.select(hit.alias("hit"), (F.col("y") == 1).alias("y"), "times").mapInArrow(run, "round long, tp long, p long, pos long")
+    g = parts.groupBy("round").agg(*(F.sum(c).alias(c) for c in ("tp", "p", "pos")))
     return g.select("round", (2 * F.col("tp") / F.greatest(F.lit(1), F.col("p") + F.col("pos"))).alias("f1"))
 
 

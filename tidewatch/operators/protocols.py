@@ -69,21 +69,32 @@ def temporal_protocol(rows: DataFrame, sets: dict[str, Sequence[str]], step: str
     rows = materialise(rows, "protocol")
     train, test = rows.where(F.col(step) <= train_to), rows.where(F.col(step) > train_to)
 
-    def one(item: tuple[str, Sequence[str]]) -> DataFrame:
-        name, columns = item
+    def fitted(columns: Sequence[str]) -> tuple[float, Callable[[DataFrame], DataFrame]]:
         inside = expanding_predictions(train, columns, step, [f for f in folds if f[1] <= train_to], fit)
         best = mx.best_f1(inside.select("y", F.col("p").alias("s"))).first()
-        threshold = 0.5 if best is None or best["threshold"] is None else float(best["threshold"])
-        told = materialise(fit(train, columns)(test).select("y", "p", *order), "told")
-        ci = ev.interval(ev.f1_by_round(ev.resampled(told, order, rounds), "p", threshold), "f1")
-        half = at_threshold(told, 0.5).select(F.round("f1", 4).alias("f1_at_half"))
-        area = mx.rank_metrics(told.select("y", F.col("p").alias("s"))).select(F.round("average_precision", 4).alias("pr_auc"))
+        return 0.5 if best is None or best["threshold"] is None else float(best["threshold"]), fit(train, columns)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        models = list(pool.map(fitted, sets.values()))
+    # all sets are told on one table, whose rows are drawn once
+    told = test
+    for i, (_, score) in enumerate(models):
+        told = score(told).withColumnRenamed("p", f"_p{i}")
+    told = materialise(told.select("y", *order, *(f"_p{i}" for i in range(len(sets)))), "told")
+    sample = materialise(ev.drawn(told, order, rounds), "resamples")
+
+    def one(i: int) -> DataFrame:
+        (name, columns), threshold = list(sets.items())[i], models[i][0]
+        own = told.withColumnRenamed(f"_p{i}", "p")
+        ci = ev.interval(ev.f1_by_round(sample, f"_p{i}", threshold), "f1")
+        half = at_threshold(own, 0.5).select(F.round("f1", 4).alias("f1_at_half"))
+        area = mx.rank_metrics(own.select("y", F.col("p").alias("s"))).select(F.round("average_precision", 4).alias("pr_auc"))
         head = spark.createDataFrame([(name, len(columns), threshold)], "name string, features int, threshold double")
-        out = head.crossJoin(at_threshold(told, threshold)).crossJoin(ci).crossJoin(half).crossJoin(area)
+        out = head.crossJoin(at_threshold(own, threshold)).crossJoin(ci).crossJoin(half).crossJoin(area)
         return materialise(out.select("name", "features", "threshold", *(F.round(c, 4).alias(c) for c in ("f1", "precision", "recall")), "low", "high", "f1_at_half", "pr_auc"), "protocol-set")
 
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, sets.items()))
+        return reduce(DataFrame.unionByName, pool.map(one, range(len(sets))))
 
 
 def feature_ablation(train: DataFrame, test: DataFrame, columns: Sequence[str], groups: dict[str, Sequence[str]], fit: Fit) -> DataFrame:
@@ -128,8 +139,9 @@ def learned_only_protocol(scored: DataFrame, order: Sequence[str], *, budget: fl
     """
     layers = ("gbm", "anomaly", "hybrid")
     scored = materialise(scored, "learned-scores")
-    sample = materialise(ev.resampled(scored, order, rounds), "learned-resamples")
+    sample = materialise(ev.drawn(scored.select("y", *order, *layers), order, rounds), "learned-resamples")
+    by_round = {n: materialise(ev.average_precision_by_round(sample, n), "by-round") for n in layers}
     blocks = ev.layer_metrics(scored, layers, budget)
-    own = reduce(DataFrame.unionByName, (ev.interval(ev.average_precision_by_round(sample, n), "ap").select(F.lit(n).alias("layer"), F.col("low").alias("pr_auc_low"), F.col("high").alias("pr_auc_high")) for n in layers))
-    gain = reduce(DataFrame.unionByName, (ev.paired_difference(scored, order, n, "gbm", rounds).select(F.lit(n).alias("layer"), F.col("delta").alias("gain"), F.col("low").alias("gain_low"), F.col("high").alias("gain_high"), "verdict") for n in layers[1:]))
+    own = reduce(DataFrame.unionByName, (ev.interval(by_round[n], "ap").select(F.lit(n).alias("layer"), F.col("low").alias("pr_auc_low"), F.col("high").alias("pr_auc_high")) for n in layers))
+    gain = reduce(DataFrame.unionByName, (ev.difference(scored, n, "gbm", by_round[n], by_round["gbm"]).select(F.lit(n).alias("layer"), F.col("delta").alias("gain"), F.col("low").alias("gain_low"), F.col("high").alias("gain_high"), "verdict") for n in layers[1:]))
     return blocks.join(F.broadcast(own), "layer").join(F.broadcast(gain), "layer", "left")
