@@ -109,6 +109,19 @@ def test_the_protocol_takes_its_threshold_from_inside_training(stepped):
     assert got["both"].low <= got["both"].f1 <= got["both"].high and got["a"].f1 > got["b"].f1
 
 
+def test_learned_scores_are_drawn_once_for_all_layers(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, int(r.random() < 0.2), r.random(), r.random(), r.random(), 10.0 * r.random()) for i in range(400)]
+    scored = spark.createDataFrame(rows, "tx_id long, y int, gbm double, anomaly double, hybrid double, amount double").withColumn("gbm", F.col("gbm") + F.col("y"))
+    calls, plain = [], pr.ev.drawn
+    monkeypatch.setattr(pr.ev, "drawn", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = {x.layer: x for x in pr.learned_only_protocol(scored, ["tx_id"], rounds=20).collect()}
+    assert len(calls) == 1
+    assert all(x.pr_auc_low <= x.pr_auc_high for x in got.values()) and got["gbm"].pr_auc == 1.0 == got["gbm"].pr_auc_low
+    assert got["gbm"].gain is None and got["anomaly"].gain < -0.5 and got["hybrid"].verdict == "harm"
+    assert got["anomaly"].gain_high == pytest.approx(got["anomaly"].pr_auc_high - 1, abs=2e-4)
+
+
 def test_ablation_refits_without_a_group(stepped):
     got = {r.group: r for r in pr.feature_ablation(stepped.where("step <= 10"), stepped.where("step > 10"), COLUMNS, {"of_a": ["a"], "of_b": ["b"]}, pr.boosted(3, 2)).collect()}
     assert got[""].loss == 0 and got["of_a"].loss > 0.3 > abs(got["of_b"].loss)
