@@ -189,6 +189,17 @@ def test_drift_shows_where_values_move(spark):
 
 
 # --- documents ----------------------------------------------------------------------------
+def test_texts_of_one_row_group_are_redacted_by_all_cores(spark, tmp_path):
+    from tidewatch.plans import documents as pd_
+
+    spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("a.b@c.org "), F.col("id").cast("string")).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("m13_mail_tokens", "m14_name_tokens", "m16_restored"):
+        out = pd_.QUERIES[name](spark, str(tmp_path))
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 200, name
+        assert out.count() == 400
+
+
 def test_redaction_there_and_back(spark):
     rows = [
         (1, "Ayşe Yılmaz sent to TR33 0006 1005 1978 6457 8413 26 and AYŞE YILMAZ again, mail a.b@c.org", ["Kemal Tas"]),
