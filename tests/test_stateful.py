@@ -86,3 +86,38 @@ def test_windows_move_without_new_events():
     assert w.features(20)["cnt_1m"] == 2.0 and w.features(fr.MINUTE + 5)["cnt_1m"] == 1.0
     w.move(fr.WEEK + 10)
     assert not w.entries and not w.payees["7d"] and w.sums == dict.fromkeys(sf.WIDTHS, 0)
+
+
+def test_a_customer_without_change_is_not_written_again():
+    """A batch in any order is taken by time; a timer that drops nothing writes no state and tells no rows."""
+    import pandas as pd
+
+    class State:
+        saved, writes = None, 0
+
+        def get(self):
+            return self.saved
+
+        def update(self, value):
+            self.saved, self.writes = value, self.writes + 1
+
+    class Handle:
+        def registerTimer(self, at):
+            pass
+
+    class Info:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    p = sf._Learning(sf.PENDING_US, sf.PENDING_MAX)
+    p.state, p.handle = State(), Handle()
+    line = [(30, "feedback", 2, None, None, None, None, None, "trusted"), (20, "event", 2, 5.0, "web", "d1", None, "HOLD", None), (10, "event", 1, 7.0, None, "d1", float("nan"), "ALLOW", None), (20, "event", 3, 1.0, "web", None, None, "HOLD", None)]
+    got = pd.concat(p.handleInputRows(("a",), iter([pd.DataFrame(line[:2], columns=sf._TOLD), pd.DataFrame(line[2:], columns=sf._TOLD)]), None))
+    assert list(zip(got.tx_id, got.kind, got.outcome, strict=True)) == [(1, "event", "learned"), (2, "event", "pending"), (3, "event", "pending"), (2, "feedback", "taught")]
+    assert p.state.writes == 1
+    assert list(p.handleExpiredTimer(("a",), None, Info(1))) == [] and p.state.writes == 1
+    assert list(p.handleExpiredTimer(("a",), None, Info(sf.PENDING_US // 1000 + 1))) == [] and p.state.writes == 2
+    assert not sf.LateLearner(saved=p.state.saved[0]).pending
