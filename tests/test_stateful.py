@@ -121,3 +121,54 @@ def test_a_customer_without_change_is_not_written_again():
     assert list(p.handleExpiredTimer(("a",), None, Info(1))) == [] and p.state.writes == 1
     assert list(p.handleExpiredTimer(("a",), None, Info(sf.PENDING_US // 1000 + 1))) == [] and p.state.writes == 2
     assert not sf.LateLearner(saved=p.state.saved[0]).pending
+
+
+def test_many_customers_share_a_key_and_only_those_with_news_are_written():
+    """A call takes a shard of customers; a timer writes those that are due and leaves the others alone."""
+    import pandas as pd
+
+    class Map:
+        def __init__(self):
+            self.of, self.writes = {}, []
+
+        def getValue(self, key):
+            return self.of.get(key)
+
+        def updateValue(self, key, value):
+            self.of[key] = value
+            self.writes.append(key[0])
+
+        def removeKey(self, key):
+            del self.of[key]
+
+        def iterator(self):
+            return iter(list(self.of.items()))
+
+    class At:
+        def __init__(self, us):
+            self.us = us
+
+        def getCurrentWatermarkInMs(self):
+            return self.us // 1000
+
+        def registerTimer(self, ms):
+            timers.append(ms)
+
+    timers: list[int] = []
+    p = sf._Sliding()
+    p.customers, p.handle = Map(), At(0)
+    rows = pd.DataFrame([("a", 5_000, 1, 2.0, "x"), ("b", 9_000, 2, 3.0, None), ("a", 7_000, 3, float("nan"), "y")], columns=["cust", "us", "tx_id", "amount", "payee"])
+    assert list(p.handleInputRows((0,), iter([rows]), At(0))) == [] and timers == [6] and p.customers.writes == ["a", "b"]
+    told = pd.concat(p.handleExpiredTimer((0,), At(7_000), None))
+    assert list(zip(told.tx_id, told.cust, told.cnt_1h, told.sum_1h, strict=True)) == [(1, "a", 0.0, 0.0), (3, "a", 1.0, 2.0)]
+    assert p.customers.writes == ["a", "b", "a"] and timers[-1] == 10
+    assert len(pd.concat(p.handleExpiredTimer((0,), At(9_000 + fr.WEEK), None))) == 1 and p.customers.of == {}
+
+
+def test_customers_of_one_shard_do_not_mix(spark, tmp_path):
+    rows = [(i, T0 + i * 1_000_000, i % 5, 1.0, "p") for i in range(50)] + [(99, T0 + 9 * fr.HOUR, 0, 1.0, "p")]
+    schema = "tx_id long, us long, cust long, amount double, payee string"
+    spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("us")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema + ", ts timestamp").parquet(f"{tmp_path}/in")
+    got = {r["tx_id"]: r["cnt_1h"] for r in sf.drained(lambda: sf.sliding_features_stream(stream, shards=1), spark).collect()}
+    assert got == {i: float(i // 5) for i in range(50)}
