@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.scores import action_rank, logit, sigmoid
-from ..storage import materialise, running_sums
+from ..storage import materialise, positions, running_sums
 from . import metrics as mx
 
 _P = 2**31 - 1
@@ -23,7 +23,7 @@ def row_split(rows: DataFrame, order: Sequence[str], train: float = 0.70, valid:
     """Adds ``part``: by position in the order, which must be unique; rows marked ``exclude`` are dropped first."""
     if exclude:
         rows = rows.where(~F.coalesce(F.col(exclude), F.lit(False)))
-    placed = running_sums(rows, [F.col(c) for c in order], {"_nth": F.lit(1)})
+    placed = positions(rows, [F.col(c) for c in order], "_nth")
     total = rows.agg(F.count("*").alias("_all"))
     nth = F.col("_nth") - 1
     part = F.when(nth < F.floor(F.col("_all") * train), "train").when(nth < F.floor(F.col("_all") * (train + valid)), "valid").otherwise("test")

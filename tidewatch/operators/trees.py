@@ -18,7 +18,7 @@ one comparison a split and one polynomial a pattern that occurs.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
 
@@ -40,15 +40,15 @@ class Path:
     share: tuple[float, ...]
     value: float
 
-    def follows(self, x: np.ndarray) -> np.ndarray:
-        """Bit i of a row: it goes along the path at the i-th feature. A missing value goes right, as in the model."""
-        mask = np.zeros(len(x), np.int64)
+    def follows(self, below: Callable[[int, float], np.ndarray], n: int) -> np.ndarray:
+        """Bit i of a row: it goes along the path at the i-th feature; ``below`` tells which of n rows lie at or under a split's threshold. A missing value goes right, as in the model."""
+        mask = np.zeros(n, np.int64)
         for i, f in enumerate(self.features):
-            ok = np.ones(len(x), bool)
+            ok = np.ones(n, bool)
             if self.hi[i] is not None:
-                ok &= x[:, f] <= self.hi[i]
+                ok &= below(f, self.hi[i])
             if self.lo[i] is not None:
-                ok &= ~(x[:, f] <= self.lo[i])
+                ok &= ~below(f, self.lo[i])
             mask |= ok.astype(np.int64) << i
         return mask
 
@@ -112,17 +112,42 @@ def expected(of: Sequence[Path]) -> float:
     return float(sum(p.value * np.prod(p.share) for p in of))
 
 
-def shapley(of: Sequence[Path], x: np.ndarray) -> np.ndarray:
-    """Attributions (rows, features) of the rows of ``x``."""
-    out = np.zeros(x.shape)
-    for p in of:
-        if not p.features:
+#: Features of a path up to which its patterns are looked up by number, not sorted.
+_NUMBERED = 10
+
+
+def shapley(of: Sequence[Path], x: np.ndarray, known: dict[tuple[int, int], list[float]] | None = None) -> np.ndarray:
+    """Attributions (rows, features) of the rows of ``x``. ``known`` keeps the values of a path's patterns from one call to the next."""
+    known = {} if known is None else known
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros(columns.shape)
+    splits: dict[tuple[int, float], np.ndarray] = {}
+
+    def below(f: int, t: float) -> np.ndarray:
+        # paths of a tree share their splits
+        if (f, t) not in splits:
+            splits[f, t] = columns[f] <= t
+        return splits[f, t]
+
+    for k, p in enumerate(of):
+        d = len(p.features)
+        if not d:
             continue
-        mask = p.follows(x)
-        patterns, at = np.unique(mask, return_inverse=True)
-        values = np.array([p.values(int(m)) for m in patterns])
-        out[:, p.features] += values[at]
-    return out
+        mask = p.follows(below, len(x))
+        if d <= _NUMBERED:
+            patterns, at, size = np.flatnonzero(np.bincount(mask, minlength=1 << d)), mask, 1 << d
+            places = patterns
+        else:
+            patterns, at = np.unique(mask, return_inverse=True)
+            places, size = np.arange(len(patterns)), len(patterns)
+        table = np.zeros((d, size))
+        for place, m in zip(places.tolist(), patterns.tolist(), strict=True):
+            if (k, m) not in known:
+                known[k, m] = p.values(m)
+            table[:, place] = known[k, m]
+        for i, f in enumerate(p.features):
+            out[f] += table[i][at]
+    return out.T
 
 
 def contributions(rows: DataFrame, of: Sequence[Path], columns: Sequence[str], key: str = "tx_id") -> DataFrame:
@@ -132,16 +157,22 @@ def contributions(rows: DataFrame, of: Sequence[Path], columns: Sequence[str], k
     split; every row has one value a column, zeros included. Repeated keys are
     told row by row.
     """
+    phi = attributed(rows, of, columns, key)
+    names = F.array(*map(F.lit, columns))
+    return phi.select(key, F.posexplode("_phi").alias("_i", "value")).select(key, F.get(names, F.col("_i")).alias("feature"), "value")
+
+
+def attributed(rows: DataFrame, of: Sequence[Path], columns: Sequence[str], key: str = "tx_id") -> DataFrame:
+    """key and ``_phi``, the row's values of :func:`contributions` in the order of ``columns``: for what is told row by row."""
     shared = rows.sparkSession.sparkContext.broadcast(list(of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], list[float]] = {}
         for b in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[1:]], axis=1)
-            flat = shapley(shared.value, x).ravel()
+            flat = shapley(shared.value, x, known).ravel()
             at = pa.array(np.arange(0, len(flat) + 1, x.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(flat))], [key, "_phi"])
 
     kind = rows.schema[key].dataType.simpleString()
-    phi = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, f"`{key}` {kind}, _phi array<double>")
-    names = F.array(*map(F.lit, columns))
-    return phi.select(key, F.posexplode("_phi").alias("_i", "value")).select(key, F.get(names, F.col("_i")).alias("feature"), "value")
+    return rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, f"`{key}` {kind}, _phi array<double>")

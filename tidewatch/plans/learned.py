@@ -45,6 +45,7 @@ COLUMNS = {
     "hour": "time", "is_night": "time",
 }
 _OF_PROFILE = ("amount_ratio", "amount_zscore", "is_new_device", "typing_deviation")
+_READ = ("tx_id", "us", "cust", "amount", "channel", "payee", "device", "trusted", "avg_amount", "typing")
 
 
 def query(f):
@@ -54,10 +55,12 @@ def query(f):
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx_id, us, the model's features, what the online signal reads, trusted, and y: the event is an error."""
-    t = materialise(payments(spark, sf_dir), "payments")
     plain = [c for c in (*COLUMNS, "distinct_payees_24h") if c not in _OF_PROFILE]
-    x = ft.features(t, list(dict.fromkeys(plain)), keep=("tx_id", "us", "trusted", "channel")).join(pf.profile_features(t).select("tx_id", *_OF_PROFILE), "tx_id")
-    x = x.join(ft.session_features(t).select("tx_id", "login_to_transfer_s"), "tx_id")
+    t = materialise(payments(spark, sf_dir).select(*_READ, ft.session_number("login_to_transfer_s").alias("login_to_transfer_s")), "payments")
+    # a customer's profile is the last of the histories and goes beside them, so that nothing is joined
+    x = ft.features(t, list(dict.fromkeys(plain)), keep=(*_READ, "login_to_transfer_s"))
+    kept = ["tx_id", "us", "trusted", *dict.fromkeys(plain), "login_to_transfer_s"]
+    x = pf.profile_features(x, _OF_PROFILE, keep=(*kept, "channel"))
     return materialise(x.withColumn("y", (F.col("channel") == "error").cast("int")).drop("channel"), "model-rows")
 
 
@@ -82,7 +85,7 @@ def f17_model_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons of the fitted model, by group of features."""
     x = rows(spark, sf_dir)
     _, of, _ = fitted(x)
-    out = rl.ml_reasons(tr.contributions(x, of, list(COLUMNS)), COLUMNS)
+    out = rl.row_reasons(tr.attributed(x, of, list(COLUMNS)), list(COLUMNS), COLUMNS)
     return out.select("tx_id", "group", F.round("weight", 6).alias("weight"), "top_feature")
 
 
@@ -112,7 +115,7 @@ def f22_learned_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = payments(spark, sf_dir).join(ml, "tx_id").join(anomaly, "tx_id").join(seen.select("tx_id", "online_score"), "tx_id")
     out = materialise(sc.full_pass(t, surroundings(spark, sf_dir)), "learned-pass")
     hits = out.select("tx_id", F.explode("rule_hits").alias("h")).select("tx_id", F.col("h.id").alias("code"), F.lit("rule").alias("source"), F.col("h.score").alias("weight"))
-    learned = rl.ml_reasons(tr.contributions(x, of, list(COLUMNS)), COLUMNS).select("tx_id", F.concat(F.lit("ML_"), F.upper("group")).alias("code"), F.lit("ml").alias("source"), "weight")
+    learned = rl.row_reasons(tr.attributed(x, of, list(COLUMNS)), list(COLUMNS), COLUMNS).select("tx_id", F.concat(F.lit("ML_"), F.upper("group")).alias("code"), F.lit("ml").alias("source"), "weight")
     policy = out.select("tx_id", F.explode("overrides").alias("code")).where(~F.col("code").isin("RULE_FLOOR", "RULE_FLOOR_SOFTENED")).select("tx_id", "code", F.lit("policy").alias("source"), F.lit(1.0).alias("weight"))
     reasons = rl.top_reasons(hits.unionByName(learned).unionByName(policy).unionByName(on.online_reasons(seen, 0.5)))
     shown = reasons.groupBy("tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda r: r["code"]), ",").alias("reasons"))
