@@ -172,3 +172,34 @@ def test_customers_of_one_shard_do_not_mix(spark, tmp_path):
     stream = spark.readStream.schema(schema + ", ts timestamp").parquet(f"{tmp_path}/in")
     got = {r["tx_id"]: r["cnt_1h"] for r in sf.drained(lambda: sf.sliding_features_stream(stream, shards=1), spark).collect()}
     assert got == {i: float(i // 5) for i in range(50)}
+
+
+def test_an_event_does_not_look_at_all_that_wait():
+    """Of what waits only the first is looked at, also after a restart; out of order and told twice all are, and what is dropped is the same."""
+    seen = 0
+
+    class Counted(sf.OrderedDict):
+        def values(self):
+            return counted(super().values())
+
+        def items(self):
+            return counted(super().items())
+
+    def counted(of):
+        nonlocal seen
+        for x in of:
+            seen += 1
+            yield x
+
+    event = lambda i, us: {"us": us, "kind": "event", "tx_id": i, "amount": 1.0, "channel": "web", "device": "d", "typing": None, "decision": "HOLD", "label": None}
+    learner = sf.LateLearner(keep_us=400)
+    learner.pending = Counted()
+    for i in range(800):
+        learner.take(event(i, i))
+    assert seen < 4 * 800 and list(sf.OrderedDict.keys(learner.pending)) == list(range(399, 800))
+    again = sf.LateLearner(keep_us=400, saved=learner.saved())
+    assert again.ordered and again.expire(900) == 101
+    again.take(event(1000, 600))  # late
+    assert not again.ordered and again.expire(1001) == 102 and 1000 not in again.pending
+    again.take(event(700, 1001))  # told twice: it keeps its place
+    assert again.expire(1102) == 100 and 700 in again.pending and 701 not in again.pending
