@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -91,29 +92,44 @@ def grown_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES, sam
     return {"trees": forest, "scale": _path(min(sample, max(len(x), 2))) or 1.0}
 
 
-def forest_scores(df: DataFrame, forest: dict, columns: list[str]) -> DataFrame:
-    """Adds ``anomaly``, in (0, 1): high where few cuts set a row apart."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
-
-    def depths(node, part: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+def _anomalies(forest: dict, x: np.ndarray) -> np.ndarray:
+    def depths(node, at: np.ndarray, out: np.ndarray) -> None:
         if not isinstance(node, list):
             out[at] += node
             return
-        left = part[at, node[0]] < node[1]
-        depths(node[2], part, at[left], out)
-        depths(node[3], part, at[~left], out)
+        left = x[at, node[0]] < node[1]
+        depths(node[2], at[left], out)
+        depths(node[3], at[~left], out)
+
+    out = np.zeros(len(x))
+    for tree in forest["trees"]:
+        depths(tree, np.arange(len(x)), out)
+    return 2.0 ** (-out / max(len(forest["trees"]), 1) / forest["scale"])
+
+
+def forest_scores(df: DataFrame, forest: dict, columns: list[str]) -> DataFrame:
+    """Adds ``anomaly``, in (0, 1): high where few cuts set a row apart."""
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, scale = shared.value["trees"], shared.value["scale"]
         for pdf in batches:
-            part, out = pdf[columns].to_numpy(np.float64), np.zeros(len(pdf))
-            for tree in trees:
-                depths(tree, part, np.arange(len(pdf)), out)
-            yield pdf.assign(anomaly=2.0 ** (-out / max(len(trees), 1) / scale))
+            yield pdf.assign(anomaly=_anomalies(shared.value, pdf[columns].to_numpy(np.float64)))
 
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", anomaly double")
 
 
+def forest_column(forest: dict, columns: list[str]) -> Column:
+    """The same as a Column, for rows whose other columns have no business in Python."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            x = np.stack([a.to_numpy(zero_copy_only=False).astype(np.float64) for a in arrays], axis=1)
+            yield pa.array(_anomalies(forest, x))
+
+    return run(*(F.col(c).cast("double") for c in columns))
+
+
 def isolation_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES, sample: int = SAMPLE, seed: int = 42):
     """Grow a forest; returns a function that adds ``anomaly``."""
     forest = grown_forest(rows, columns, trees=trees, sample=sample, seed=seed)

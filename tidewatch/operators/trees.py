@@ -24,7 +24,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
@@ -150,6 +150,12 @@ def shapley(of: Sequence[Path], x: np.ndarray, known: dict[tuple[int, int], list
     return out.T
 
 
+def _phi(of: Sequence[Path], columns: Sequence[pa.Array], known: dict) -> pa.Array:
+    x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns], axis=1)
+    flat = shapley(of, x, known).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, x.shape[1], dtype=np.int32)), pa.array(flat))
+
+
 def contributions(rows: DataFrame, of: Sequence[Path], columns: Sequence[str], key: str = "tx_id") -> DataFrame:
     """key, feature, value: what each of ``columns`` adds to a row's log-odds. With :func:`expected` a row's values sum to its log-odds.
 
@@ -169,10 +175,19 @@ def attributed(rows: DataFrame, of: Sequence[Path], columns: Sequence[str], key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], list[float]] = {}
         for b in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[1:]], axis=1)
-            flat = shapley(shared.value, x, known).ravel()
-            at = pa.array(np.arange(0, len(flat) + 1, x.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(flat))], [key, "_phi"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _phi(shared.value, b.columns[1:], known)], [key, "_phi"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, f"`{key}` {kind}, _phi array<double>")
+
+
+def attribution(of: Sequence[Path], columns: Sequence[str]) -> Column:
+    """``_phi`` of :func:`attributed` as a Column, for rows whose other columns have no business in Python."""
+
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        known: dict[tuple[int, int], list[float]] = {}
+        for arrays in batches:
+            yield _phi(of, arrays, known)
+
+    return run(*(F.col(c).cast("double") for c in columns))

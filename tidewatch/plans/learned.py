@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
@@ -104,22 +104,32 @@ def i06_online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def f22_learned_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full pass with a fitted model's score, a calibrated anomaly and the online signal, each with its reasons."""
-    x = rows(spark, sf_dir)
-    model, of, split = fitted(x)
+    columns = list(COLUMNS)
+    t = materialise(payments(spark, sf_dir), "payments")
+    # the histories serve the model, the online signal and the pass, so they are made once
+    x = materialise(sc.histories(t, ["channel", "trusted", "unknown_customer"]).withColumn("y", (F.col("channel") == "error").cast("int")).drop("channel"), "histories")
+    model, of, split = fitted(x.select("tx_id", "us", "y", *columns))
     train = split.where("part = 'train'")
-    anomalies = md.isolation_forest(train, list(COLUMNS), trees=50)
-    points = md.quantile_points(anomalies(train.select("tx_id", *COLUMNS)), "anomaly")
-    ml = md.boosted_scores(model, x, list(COLUMNS)).select("tx_id", F.col("p").alias("ml_score"))
-    anomaly = anomalies(x.select("tx_id", *COLUMNS)).select("tx_id", md.calibrated(F.col("anomaly"), points).alias("anomaly_score"))
-    seen = online(x)
-    t = payments(spark, sf_dir).join(ml, "tx_id").join(anomaly, "tx_id").join(seen.select("tx_id", "online_score"), "tx_id")
-    out = materialise(sc.full_pass(t, surroundings(spark, sf_dir)), "learned-pass")
-    hits = out.select("tx_id", F.explode("rule_hits").alias("h")).select("tx_id", F.col("h.id").alias("code"), F.lit("rule").alias("source"), F.col("h.score").alias("weight"))
-    learned = rl.row_reasons(tr.attributed(x, of, list(COLUMNS)), list(COLUMNS), COLUMNS).select("tx_id", F.concat(F.lit("ML_"), F.upper("group")).alias("code"), F.lit("ml").alias("source"), "weight")
-    policy = out.select("tx_id", F.explode("overrides").alias("code")).where(~F.col("code").isin("RULE_FLOOR", "RULE_FLOOR_SOFTENED")).select("tx_id", "code", F.lit("policy").alias("source"), F.lit(1.0).alias("weight"))
-    reasons = rl.top_reasons(hits.unionByName(learned).unionByName(policy).unionByName(on.online_reasons(seen, 0.5)))
-    shown = reasons.groupBy("tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda r: r["code"]), ",").alias("reasons"))
-    return out.join(shown, "tx_id", "left").select("tx_id", "decision", F.round("risk_score", 4).alias("risk_score"), F.round("ml_score", 6).alias("ml_score"), F.round("anomaly_score", 4).alias("anomaly_score"), F.round("online_score", 4).alias("online_score"), F.coalesce("reasons", F.lit("")).alias("reasons"), "case_required")
+    forest = md.grown_forest(train, columns, trees=50)
+    points = md.quantile_points(md.forest_scores(train.select("tx_id", *columns), forest, columns), "anomaly")
+    seen = online(x).select("tx_id", "online_score")
+    every = sc.observed(t, surroundings(spark, sf_dir), fr.beside(x.drop("y", "trusted"), seen))
+    # what a model says of a payment is told beside it, after the joins
+    every = md.boosted_scores(model, every, columns).withColumnRenamed("p", "ml_score").withColumns({"_anomaly": md.forest_column(forest, columns), "_phi": tr.attribution(of, columns)})
+    out = sc.decided(every.withColumn("anomaly_score", md.calibrated(F.col("_anomaly"), points)))
+    shown = rl.shown_reasons(out.withColumn("reasons", _reasons()))
+    codes = F.array_join(F.transform("reasons", lambda r: r["code"]), ",")
+    return shown.select("tx_id", "decision", F.round("risk_score", 4).alias("risk_score"), F.round("ml_score", 6).alias("ml_score"), F.round("anomaly_score", 4).alias("anomaly_score"), F.round("online_score", 4).alias("online_score"), codes.alias("reasons"), "case_required")
+
+
+def _reasons() -> Column:
+    """All reasons of a decided payment: of rules, of the model by group, of the policy, and of the online signal from 0.5 on."""
+    reason = lambda code, source, weight: F.struct(code.alias("code"), F.lit(source).alias("source"), weight.alias("weight"))
+    rules = F.transform("rule_hits", lambda h: reason(h["id"], "rule", h["score"]))
+    model = F.transform(rl.group_reasons("_phi", list(COLUMNS), COLUMNS), lambda r: reason(F.concat(F.lit("ML_"), F.upper(r["group"])), "ml", r["weight"]))
+    policy = F.transform(F.filter("overrides", lambda c: ~c.isin("RULE_FLOOR", "RULE_FLOOR_SOFTENED")), lambda c: reason(c, "policy", F.lit(1.0)))
+    signal = F.filter(F.array(reason(F.lit("ONLINE_ANOMALY"), "signal", F.col("online_score") * on.REASON_WEIGHT)), lambda _: F.col("online_score") >= 0.5)
+    return F.concat(rules, model, policy, signal)
 
 
 #: The model's features by part, for protocols that compare sets of them.
