@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions.scores import logit, sigmoid
+from ..storage import materialise
 from .metrics import quantiles
 
 
@@ -136,36 +139,94 @@ def isolation_forest(rows: DataFrame, columns: list[str], *, trees: int = TREES,
     return lambda df: forest_scores(df, forest, columns)
 
 
-#: Rows that the tails of a column are told from at most.
-TAIL_ROWS = 3000
+#: Rows of a block, which asks for each of its values once.
+TAIL_BLOCK = 2**13
+_TAIL = "c int, v double, b long, n long"
 
 
-def fitted_tails(rows: DataFrame, columns: list[str], *, sample: int = TAIL_ROWS, seed: int = 42):
-    """Tails of each column of a bounded sample (the rows that hash lowest); returns a function that adds ``ecod``.
+def _each_value(columns: int, count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows of values, and the block first, each value of a column once a batch and block: with its count, or asked for (no count)."""
 
-    A value's tails are the shares of the sample that lie at or below and at or above
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in range(columns):
+                v = batch.column(c + 1).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                for b in np.unique(block):
+                    values, n = np.unique(v[(block == b) & ~np.isnan(v)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c, np.int32)), pa.array(values), pa.array(np.full(len(values), b)), pa.array(n if count else np.zeros_like(n))], ["c", "v", "b", "n"])
+
+    return run
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of values in order, how many are below and up to each that is asked for; at the end a row without block, with the range's count."""
+    total, last, low, r = 0, None, 0, None
+    names = ["r", "c", "v", "b", "below", "upto"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        r, c, v, b, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        first = np.append(last != (c[0], v[0]), (c[1:] != c[:-1]) | (v[1:] != v[:-1]))
+        upto = total + np.cumsum(n)
+        below = np.maximum.accumulate(np.where(first, upto - n, low))
+        total, last, low = int(upto[-1]), (c[-1], v[-1]), int(below[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[n == 0]) for x in (r, c, v, b, below, upto)], names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([int(r[0])], pa.int32()), pa.array([0], pa.int32()), pa.array([0.0]), pa.array([None], pa.int64()), pa.array([0]), pa.array([total])], names)
+
+
+def fitted_tails(rows: DataFrame, columns: list[str]):
+    """Tails of each column of all rows; returns a function that adds ``ecod``.
+
+    A value's tails are the shares of the rows that lie at or below and at or above
     it, at least 1 / (n + 1); the rarer counts, or the one on the side that the column
-    leans to (both where it does not lean). Nulls and an empty sample have no tails and add nothing.
-    """
-    x = rows.select(*(F.col(c).cast("double") for c in columns)).orderBy(F.xxhash64(F.lit(seed), *columns)).limit(sample).toPandas().to_numpy(np.float64)
-    knots = [np.sort(v[~np.isnan(v)]) for v in x.T]
-    lean = [float(np.sign(np.mean((k - k.mean()) ** 3))) if len(k) and k[0] < k[-1] else 0.0 for k in knots]
-    shared = rows.sparkSession.sparkContext.broadcast((knots, lean))
+    leans to (both where it does not lean). Nulls and an empty table have no tails and add nothing.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, side = shared.value
-        for pdf in batches:
-            total = np.zeros(len(pdf))
-            for c, k, s in zip(columns, of, side, strict=True):
-                v = pdf[c].to_numpy(np.float64)
-                n = max(len(k), 1)
-                left = -np.log(np.maximum(1 / (n + 1), np.searchsorted(k, v, side="right") / n))
-                right = -np.log(np.maximum(1 / (n + 1), (n - np.searchsorted(k, v, side="left")) / n))
-                leant = left if s < 0 else right if s > 0 else left + right
-                total += np.where(np.isnan(v) | (len(k) == 0), 0.0, np.maximum(np.maximum(left, right), leant))
-            yield pdf.assign(ecod=total)
-
-    return lambda df: df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ecod double")
+    No value is left out and none is gathered: the values of all columns, and those asked
+    for, are put in order by ranges, where each asked value meets its counts, and go back
+    to the blocks of rows that asked. A value that most rows have is sent once a batch or block.
+    """
+    double = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    at = [f"_{i}" for i in range(len(columns))]
+    x = rows.select(F.lit(0).cast("long").alias("_b"), *(double(c).alias(a) for c, a in zip(columns, at, strict=True)))
+    told = x.agg(*(F.struct(F.count(a).alias("n"), F.skewness(a).alias("s"), (F.min(a) < F.max(a)).alias("wide")).alias(a) for a in at)).first()
+    size = [told[a]["n"] for a in at]
+    # a skewness that is no more than rounding is none
+    lean = [float(np.sign(told[a]["s"])) if told[a]["wide"] and abs(told[a]["s"] or 0.0) > 1e-9 else 0.0 for a in at]
+    start = np.concatenate(([0], np.cumsum(size)))
+
+    def scored(own: pa.Table, tails: pa.Table) -> pa.Table:
+        c, v, below, upto = (tails.column(i).to_numpy() for i in ("c", "v", "below", "upto"))
+        total = np.zeros(own.num_rows)
+        for i, (name, n, s) in enumerate(zip(columns, size, lean, strict=True)):
+            asked = own.column(name).cast(pa.float64()).to_numpy() + 0.0
+            known = ~np.isnan(asked)
+            if not n or not known.any():
+                continue
+            here = np.flatnonzero(c == i)
+            here = here[np.argsort(v[here])]
+            place = here[np.searchsorted(v[here], asked[known])]
+            left = -np.log(np.maximum(1 / (n + 1), (upto[place] - start[i]) / n))
+            right = -np.log(np.maximum(1 / (n + 1), (n - below[place] + start[i]) / n))
+            leant = left if s < 0 else right if s > 0 else left + right
+            total[known] += np.maximum(np.maximum(left, right), leant)
+        return own.drop_columns(["_b"]).append_column("ecod", pa.array(total))
+
+    def add(df: DataFrame) -> DataFrame:
+        # numbers of blocks hold only where rows lie still
+        placed = materialise(df.withColumn("_b", F.expr(f"monotonically_increasing_id() div {TAIL_BLOCK}")), "tails-rows")
+        asked = placed.select("_b", *(double(c) for c in columns)).mapInArrow(_each_value(len(columns), False), _TAIL)
+        line = x.mapInArrow(_each_value(len(columns), True), _TAIL).unionByName(asked)
+        # of equal values those that count come first
+        line = line.repartitionByRange("c", "v").sortWithinPartitions("c", "v", F.desc("n")).select(F.spark_partition_id().alias("r"), "c", "v", "b", "n")
+        ranked = materialise(line.mapInArrow(_ranked, "r int, c int, v double, b long, below long, upto long"), "tails")
+        before = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+        ranges = ranked.where("b is null").select("r", F.coalesce(F.sum("upto").over(before), F.lit(0)).alias("_o"))
+        found = ranked.where("b is not null").join(F.broadcast(ranges), "r").select(F.col("b").alias("_tb"), "c", "v", (F.col("below") + F.col("_o")).alias("below"), (F.col("upto") + F.col("_o")).alias("upto"))
+        return placed.groupBy("_b").cogroup(found.groupBy("_tb")).applyInArrow(scored, T.StructType([*df.schema.fields, T.StructField("ecod", T.DoubleType())]))
+
+    return add
 
 
 def leave_one_out(score, rows: DataFrame, columns: list[str], neutral: dict[str, float], key: str = "tx_id") -> DataFrame:

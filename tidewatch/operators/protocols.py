@@ -115,7 +115,7 @@ def learned_layers(rows: DataFrame, columns: Sequence[str], order: Sequence[str]
     """The last 15 % of rows in the order, with gbm, anomaly and hybrid: learned scores alone, no rules and no graph.
 
     Boosted trees are fitted on the first 70 %. The anomaly is the mean of an isolation forest and of
-    tail shares, both of the clean rows there, as percentiles of the clean rows of the next 15 %;
+    tail shares, both of the clean rows there (of all of them; the forest's trees are grown on few, as the method has it), as percentiles of the clean rows of the next 15 %;
     on these the two scores are stacked. Rows need ``y``; the order must be unique.
     """
     columns = list(columns)
@@ -125,12 +125,14 @@ def learned_layers(rows: DataFrame, columns: Sequence[str], order: Sequence[str]
     clean = part("train").where("y = 0")
     forest, tails = md.isolation_forest(clean, columns), md.fitted_tails(clean, columns)
     raw = lambda df: tails(forest(md.boosted_scores(model, df, columns).withColumnRenamed("p", "gbm")))
-    valid = materialise(raw(part("valid")), "learned-valid")
+    # both parts are told at once, so that all clean rows are put in order once
+    told = materialise(raw(split.where("part <> 'train'")), "learned-told")
+    valid, test = (told.where(F.col("part") == p).drop("part") for p in ("valid", "test"))
     usual = valid.where("y = 0")
     of_forest, of_tails = md.quantile_points(usual, "anomaly"), md.quantile_points(usual, "ecod")
     ready = lambda df: df.withColumn("anomaly", (md.calibrated(F.col("anomaly"), of_forest) + md.calibrated(F.col("ecod"), of_tails)) / 2).drop("ecod")
     weights, intercept = md.stacker(ready(valid), ["gbm", "anomaly"])
-    return ready(raw(part("test"))).withColumn("hybrid", md.stacked(weights, intercept))
+    return ready(test).withColumn("hybrid", md.stacked(weights, intercept))
 
 
 def learned_only_protocol(scored: DataFrame, order: Sequence[str], *, budget: float = 0.01, rounds: int = 100) -> DataFrame:
